@@ -31,13 +31,16 @@ KNOWN_UNITS = {
     ("mass", -6): "ng nanogram nanograms nanogramme nanogrammes nanogramm nanogramo nanogramos نانوجرام نانوگرم",
     ("volume", 0): "ml cc c.c. milliliter milliliters millilitre millilitres mililitro mililitros مل مليلتر میلی‌لیتر",
     ("volume", 3): "l lt liter liters litre litres litro litros لتر ليتر لیتر",
-    ("volume", 2): "dl deciliter decilitre decilitres deziliter decilitro decilitros ديسيلتر دسی‌لیتر",
-    ("volume", 1): "cl centiliter centilitre centilitres zentiliter centilitro centilitros سنتيلتر سانتی‌لیتر",
+    ("volume", 2): "dl deciliter deciliters decilitre decilitres décilitre décilitres deziliter decilitro decilitros ديسيلتر دسی‌لیتر",
+    ("volume", 1): "cl centiliter centiliters centilitre centilitres zentiliter centilitro centilitros سنتيلتر سانتی‌لیتر",
     ("volume", -3): "ul µl microliter microlitre microlitres mikroliter microlitro microlitros ميكرولتر میکرولیتر",
-    ("activity", 0): "iu i.u. ui u.i. ie i.e.",
+    ("activity", 0): "iu i.u. ui u.i. ie i.e. و.د.",
     ("activity", 3): "kiu",
     ("activity", 6): "miu",
 }
+# Names of the unit of activity in several words, and the words for thousand and million before it.
+ACTIVITY_NAMES = ["international units", "international unit", "int. units", "units (iu)", "unités internationales", "internationale einheiten", "unidades internacionales", "وحدة دولية", "وحده دوليه", "واحد بین‌المللی"]
+MULTIPLES = {3: ["thousand", "k", "tsd.", "tausend", "mille", "milliers d'", "mil", "x10^3", "ألف", "هزار"], 6: ["million", "m", "mio", "mio.", "millionen", "millions d'", "million d'", "millones de", "millón de", "x10^6", "مليون", "میلیون"]}
 # Numbers written as words in the languages of the leaflets.
 NUMBER_WORDS = {
     "one": 1, "two": 2, "three": 3, "four": 4, "five": 5, "six": 6, "seven": 7, "eight": 8, "nine": 9, "ten": 10, "twelve": 12, "fifteen": 15,
@@ -48,7 +51,7 @@ NUMBER_WORDS = {
     "zwanzig": 20, "dreißig": 30, "vierzig": 40, "fünfzig": 50, "hundert": 100, "zweihundert": 200, "zweihundertfünfzig": 250, "fünfhundert": 500, "halb": 0.5, "halber": 0.5,
     "uno": 1, "una": 1, "dos": 2, "tres": 3, "cuatro": 4, "cinco": 5, "seis": 6, "siete": 7, "ocho": 8, "nueve": 9, "diez": 10, "quince": 15,
     "veinte": 20, "treinta": 30, "cuarenta": 40, "cincuenta": 50, "cien": 100, "ciento": 100, "doscientos": 200, "quinientos": 500, "medio": 0.5, "media": 0.5,
-    "واحد": 1, "اثنان": 2, "ثلاثة": 3, "أربعة": 4, "خمسة": 5, "ستة": 6, "سبعة": 7, "ثمانية": 8, "تسعة": 9, "عشرة": 10, "عشرون": 20, "عشرين": 20,
+    "اثنان": 2, "ثلاثة": 3, "أربعة": 4, "خمسة": 5, "ستة": 6, "سبعة": 7, "ثمانية": 8, "تسعة": 9, "عشرة": 10, "عشرون": 20, "عشرين": 20,
     "خمسون": 50, "خمسين": 50, "مئة": 100, "مائة": 100, "مئتان": 200, "خمسمئة": 500, "خمسمائة": 500, "نصف": 0.5,
     "یک": 1, "دو": 2, "سه": 3, "چهار": 4, "پنج": 5, "شش": 6, "هفت": 7, "هشت": 8, "نه": 9, "ده": 10, "بیست": 20, "پنجاه": 50, "صد": 100, "دویست": 200, "پانصد": 500, "نیم": 0.5,
 }
@@ -158,7 +161,11 @@ def _prefixes(phrase: Column) -> Column:
 
 
 def known_units(spark) -> DataFrame:
-    rows = [(n.replace("‌", z), kind, p) for (kind, p), names in KNOWN_UNITS.items() for n in names.split() for z in ("‌", " ")]
+    named = [(n, kind, p) for (kind, p), names in KNOWN_UNITS.items() for n in names.split()]
+    activity = KNOWN_UNITS["activity", 0].split() + ACTIVITY_NAMES
+    named += [(n, "activity", 0) for n in ACTIVITY_NAMES]
+    named += [(word + (" " if word[-1] != "'" else "") + n, "activity", p) for p, many in MULTIPLES.items() for word in many for n in activity]
+    rows = [(n.replace("‌", z), kind, p) for n, kind, p in named for z in ("‌", " ")]
     return spark.createDataFrame(sorted(set(rows)), "token string, dimension string, power int")
 
 
