@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from foliora.llm.langid import p2_found
+from foliora.llm.lookalikes import p4_found
 from foliora.llm.names import p3_found
 
-QUERIES = {"p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found}
