@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from foliora.llm.bitext import p5_found
 from foliora.llm.langid import p2_found
 from foliora.llm.lookalikes import p4_found
 from foliora.llm.names import p3_found
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p3_found": p3_found}
