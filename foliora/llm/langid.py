@@ -110,15 +110,48 @@ class Model:
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str]) -> None:
         self.idf, self.centroids, self.langs = idf, centroids, langs
         self.order = sorted(set(langs))
+        self._known: dict[str, int] = {}
+        self._rows: list[np.ndarray] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_known": {}, "_rows": []}
+
+    def _row(self, raw: str) -> int:
+        """Each distinct printed word's share of the cosines (numerators by centroid, then its square norm), computed once."""
+        k = self._known.get(raw)
+        if k is None:
+            if len(self._rows) > 300_000:
+                self._known.clear()
+                self._rows.clear()
+            ids, n = np.unique(np.asarray(_word_features(raw), dtype=np.int64), return_counts=True)
+            v = self.idf[ids] * n
+            k = self._known[raw] = len(self._rows)
+            self._rows.append(np.append(self.centroids[:, ids] @ v, v @ v).astype(np.float32))
+        return k
 
     def scores(self, texts: list[str]) -> np.ndarray:
-        """Best cosine of each language (columns in self.order)."""
+        """Best cosine of each language (columns in self.order); a text's square norm is the sum of its words' ones."""
         out = np.zeros((len(texts), len(self.order)), np.float32)
-        for a in range(0, len(texts), 512):
-            x = np.stack([features(t) for t in texts[a : a + 512]])
-            sims = _unit(np.sqrt(x) * self.idf) @ self.centroids.T
-            for k, g in enumerate(self.order):
-                out[a : a + 512, k] = sims[:, [i for i, h in enumerate(self.langs) if h == g]].max(axis=1)
+        groups = [[i for i, h in enumerate(self.langs) if h == g] for g in self.order]
+        for a in range(0, len(texts), 2048):
+            if len(self._rows) > 250_000:
+                self._known.clear()
+                self._rows.clear()
+            ids, starts, at = [], [], []
+            for i, t in enumerate(texts[a : a + 2048]):
+                words = _RAW.findall(t)
+                if words:
+                    starts.append(len(ids))
+                    at.append(a + i)
+                    ids += [self._row(w) for w in words]
+            if not ids:
+                continue
+            distinct, where = np.unique(np.asarray(ids), return_inverse=True)
+            rows = np.stack([self._rows[k] for k in distinct])[where]
+            sums = np.add.reduceat(rows, starts, axis=0)
+            sims = sums[:, :-1] / np.maximum(np.sqrt(sums[:, -1:]), 1e-9)
+            for k, g in enumerate(groups):
+                out[at, k] = sims[:, g].max(axis=1)
         return out
 
     def classify(self, texts: list[str]) -> list[tuple[str | None, float]]:
@@ -139,6 +172,14 @@ class Model:
             out.append((self.order[ranked[0]] if best >= REJECT else None, float(best / (best + second)) if best > 0 else 0.0))
         return out
 
+    def spellings(self, texts: list[str]) -> list[str]:
+        """ar, fa or latin: the spelling that a text follows; Latin script needs no classification for that."""
+        out = ["latin"] * len(texts)
+        arabic = [i for i, t in enumerate(texts) if not t.isascii() and 2 * sum(map(len, _ARABIC.findall(t))) > sum(map(len, _TOKEN.findall(t)))]
+        for i, g in zip(arabic, self.languages([texts[i] for i in arabic])):
+            out[i] = g or "ar"
+        return out
+
     def languages(self, texts: list[str]) -> list[str | None]:
         """The language of each text; a doubtful one in Arabic script is told by the letters that only one spelling has."""
         out = []
@@ -155,7 +196,6 @@ def fit(sentences: pd.DataFrame, seed: int = 0) -> Model:
     x = np.stack([features(t) for t in sentences["text"]])
     y = sentences["lang"].to_numpy()
     idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32)
-    np.sqrt(x, out=x)
     x *= idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     v = x

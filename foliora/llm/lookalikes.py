@@ -93,7 +93,7 @@ def plain_of() -> dict[str, str]:
     """Each member of a class to a plain member without regard to language: ASCII, else shortest, else first."""
     out = {}
     for members in look_alikes().classes().values():
-        rep = min(members, key=lambda m: (not m.isascii(), any(unicodedata.combining(c) for c in m), len(m), unicodedata.normalize("NFKC", m) != m, m))
+        rep = min(members, key=lambda m: (not m.isascii(), unicodedata.normalize("NFKC", m) != m, any(unicodedata.combining(c) for c in m), len(m), m))
         for m in members:
             if m != rep:
                 out[m] = rep
@@ -135,7 +135,7 @@ def plain(text: str | None) -> str:
 
 
 def representatives(counts: dict[tuple[str, str], int], lang: str) -> tuple[tuple[str, str], ...]:
-    """(member, representative) in one language: the member most frequent there; single letters before sequences, then ASCII, then order."""
+    """(member, representative) in one language: the member most frequent there; of equally frequent ones ASCII, then composed letters, then order. Forms that Unicode itself resolves never represent."""
     own = OWN.get(lang)
     pairs = []
     for members in look_alikes().classes().values():
@@ -143,7 +143,8 @@ def representatives(counts: dict[tuple[str, str], int], lang: str) -> tuple[tupl
             reps, rest = keep, [m for m in members if m not in keep]
             rep = max(sorted(reps), key=lambda m: counts.get((lang, m), 0))
         else:
-            rep = max(sorted(members, key=lambda m: (not m.isascii(), any(unicodedata.combining(c) for c in m), m)), key=lambda m: counts.get((lang, m), 0) if len(m) == 1 else -1)
+            stable = [m for m in members if unicodedata.normalize("NFKC", m) == m] or members
+            rep = max(sorted(stable, key=lambda m: (not m.isascii(), any(unicodedata.combining(c) for c in m), m)), key=lambda m: counts.get((lang, m), 0) if len(m) == 1 else 0)
             rest = [m for m in members if m != rep]
         pairs += [(m, rep) for m in rest]
     return tuple(sorted(pairs))
@@ -211,10 +212,10 @@ def character_counts(texts: DataFrame, model: Model) -> DataFrame:
             seen: collections.Counter = collections.Counter()
             chars: dict = {}
             for text in b["text"]:
-                if not text:
+                if not text or text.isascii():
                     continue
                 spans = sentence_spans(text)
-                langs = model.languages([text[a:z] for a, z in spans])
+                langs = model.spellings([text[a:z] for a, z in spans])
                 for (a, z), lang in zip(spans, langs):
                     s = text[a:z]
                     if not s.isascii():
@@ -267,7 +268,7 @@ def unify(texts: DataFrame, model: Model) -> DataFrame:
                     odd.append(False)
                     continue
                 spans = stretches(text, set(heads) if heads is not None else set())
-                langs = model.languages([text[a:z] for a, z in spans])
+                langs = model.spellings([text[a:z] for a, z in spans])
                 parts, at, found = [], 0, False
                 for (a, z), lang in zip(spans, langs):
                     s = text[a:z]

@@ -6,5 +6,6 @@ from foliora.llm.bitext import p5_found
 from foliora.llm.langid import p2_found
 from foliora.llm.lookalikes import p4_found
 from foliora.llm.names import p3_found
+from foliora.llm.scannoise import p6_found
 
-QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p3_found": p3_found}
+QUERIES = {"p2_found": p2_found, "p4_found": p4_found, "p5_found": p5_found, "p6_found": p6_found, "p3_found": p3_found}
