@@ -24,7 +24,7 @@ from foliora.sources.tables import table
 LANGUAGES = ("ar", "de", "en", "es", "fa", "fr")
 ARABIC_SCRIPT = {"ar", "fa"}
 #: Dimensions of the hashed vectors, centroids for each language, training sentences for each language (a documented bound), least cosine.
-DIM, CENTROIDS, TRAIN_SENTENCES, REJECT = 4096, 4, 1000, 0.04
+DIM, CENTROIDS, TRAIN_SENTENCES, REJECT = 6144, 4, 800, 0.04
 # Language names and codes by the code of two letters.
 CODES = {"ar": "ar ara arabic", "de": "de deu ger german", "en": "en eng english", "es": "es spa spanish", "fa": "fa fas per pes prs persian farsi", "fr": "fr fra fre french"}
 CODE_OF = {c: k for k, v in CODES.items() for c in v.split()}
@@ -75,6 +75,8 @@ def is_furniture(line: str) -> bool:
     return bool(_PAGE.match(line) or _HEADING.match(line))
 
 
+# Letters that only Arabic or only Persian spelling has.
+_TELLING = set("ةىيكأإؤ" + "یکگپچژ")
 _RAW = re.compile(r"[^\s.,;:!?؟،()/|]+")
 _TOKEN = re.compile(r"[^\W\d_]+", re.U)
 
@@ -86,15 +88,20 @@ def _word_features(raw: str) -> tuple[int, ...]:
     for word in _TOKEN.findall(skeleton(raw)):
         padded = f"^{word}$"
         grams = {padded[i : i + 3] for i in range(len(padded) - 2)}
-        ids += [zlib.crc32(g.encode()) % DIM for g in [f"w:{word}", f"w:{word}", *grams]]
+        ids += [zlib.crc32(g.encode()) % DIM for g in [*[f"w:{word}"] * 3, *grams]]
+    ids += [zlib.crc32(f"l:{c}".encode()) % DIM for c in raw if c in _TELLING]
     return tuple(ids)
 
 
 def features(text: str) -> np.ndarray:
+    """Counts of the hashed features; a word's features share the root of their number, so that long names do not rule."""
     ids: list[int] = []
+    weights: list[float] = []
     for w in _RAW.findall(text):
-        ids += _word_features(w)
-    return np.bincount(np.asarray(ids, dtype=np.int64), minlength=DIM).astype(np.float32) if ids else np.zeros(DIM, np.float32)
+        f = _word_features(w)
+        ids += f
+        weights += [max(1, len(f)) ** -0.5] * len(f)
+    return np.bincount(np.asarray(ids, dtype=np.int64), weights, minlength=DIM).astype(np.float32) if ids else np.zeros(DIM, np.float32)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -123,8 +130,9 @@ class Model:
             if len(self._rows) > 300_000:
                 self._known.clear()
                 self._rows.clear()
-            ids, n = np.unique(np.asarray(_word_features(raw), dtype=np.int64), return_counts=True)
-            v = self.idf[ids] * n
+            f = _word_features(raw)
+            ids, n = np.unique(np.asarray(f, dtype=np.int64), return_counts=True)
+            v = self.idf[ids] * n * max(1, len(f)) ** -0.5
             k = self._known[raw] = len(self._rows)
             self._rows.append(np.append(self.centroids[:, ids] @ v, v @ v).astype(np.float32))
         return k
@@ -229,7 +237,7 @@ def training_sentences(spark, sf_dir: str, most: int = TRAIN_SENTENCES) -> pd.Da
     res = table(spark, sf_dir, "results")
     sides = res.select(F.col("full_text_english").alias("text"), F.lit("en").alias("lang")).unionByName(res.select(F.col("full_text_arabic").alias("text"), F.lit("ar").alias("lang")))
     code = F.element_at(F.create_map(*[F.lit(x) for kv in CODE_OF.items() for x in kv]), F.split(F.lower(F.trim("lang")), "[-_]")[0])
-    sent = docs.unionByName(sides).withColumn("lang", code).filter("lang is not null and text is not null").select("lang", F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").withColumn("h", F.xxhash64("text"))
+    sent = docs.unionByName(sides).withColumn("lang", code).filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("whole"), F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").withColumn("h", F.xxhash64("whole", "text"))
     parts = [sent.filter(F.col("lang") == g).orderBy("h", "text").limit(most) for g in LANGUAGES]
     out = parts[0]
     for p in parts[1:]:
