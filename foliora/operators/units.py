@@ -262,7 +262,7 @@ def common_amounts(strengths: DataFrame, targets: DataFrame) -> DataFrame:
     out = flat.select("strength_id", "value", "unit", n.alias("n"), s.alias("s"), d.alias("d"), dn.alias("dn"), over_volume.alias("over"))
     kind = F.when(F.coalesce("over", F.lit(False)), F.when(F.col("s.dimension") == "mass", F.lit("concentration"))).otherwise(F.col("s.dimension"))
     amount = F.col("n") * F.pow(F.lit(10.0), F.col("s.power")) / F.when(F.coalesce("over", F.lit(False)), F.col("dn") * F.pow(F.lit(10.0), F.col("d.power"))).otherwise(F.lit(1.0))
-    out = out.select("strength_id", "value", "unit", kind.alias("dimension"), amount.alias("amount")).filter("dimension is not null and amount is not null").join(F.broadcast(targets.select("dimension", "common_unit").limit(10_000)), "dimension")
+    out = out.select("strength_id", "value", "unit", kind.alias("dimension"), amount.alias("amount")).filter("dimension is not null and amount is not null").join(targets.select("dimension", "common_unit").dropDuplicates(["dimension"]), "dimension")
     plain = (F.col("unit") == F.col("common_unit")) & F.col("value").rlike(r"^[0-9]+(\.[0-9]+)?$") & (F.abs(F.expr("try_cast(value as double)") - F.col("amount")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("amount")))
     return out.select("strength_id", "dimension", "common_unit", "amount", F.coalesce(plain, F.lit(False)).alias("plain"))
 
