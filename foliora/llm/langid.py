@@ -181,21 +181,21 @@ class Model:
         return out
 
     def spellings(self, texts: list[str]) -> list[str]:
-        """ar, fa or latin: the spelling that a text follows; Latin script needs no classification for that."""
+        """ar, fa or latin: the spelling that each text follows. Only Arabic script needs the classifier; a doubtful or short text goes by the letters that only one spelling has."""
         out = ["latin"] * len(texts)
-        arabic = [i for i, t in enumerate(texts) if not t.isascii() and 2 * sum(map(len, _ARABIC.findall(t))) > sum(map(len, _TOKEN.findall(t)))]
-        for i, g in zip(arabic, self.languages([texts[i] for i in arabic])):
-            out[i] = g or "ar"
-        return out
-
-    def languages(self, texts: list[str]) -> list[str | None]:
-        """The language of each text; a doubtful one in Arabic script is told by the letters that only one spelling has."""
-        out = []
-        for t, (g, c) in zip(texts, self.classify(texts)):
-            if (g in ARABIC_SCRIPT or g is None) and (c < DOUBT or len(_RAW.findall(t)) < 7):
-                fa, ar = sum(x in "یکگپچژ" for x in t), sum(x in "يكىةأإ" for x in t)
-                g = "fa" if fa > ar else "ar" if ar else g
-            out.append(g)
+        arabic = [i for i, t in enumerate(texts) if not t.isascii() and _ARABIC.search(t) and 2 * sum(map(len, _ARABIC.findall(t))) > sum(map(len, _TOKEN.findall(t)))]
+        if not arabic or not ARABIC_SCRIPT <= set(self.order):
+            return [out[i] if i not in set(arabic) else "ar" for i in range(len(texts))]
+        s = self.scores([texts[i] for i in arabic])
+        ar, fa = s[:, self.order.index("ar")], s[:, self.order.index("fa")]
+        sure = np.maximum(ar, fa) / np.maximum(ar + fa, 1e-9) >= DOUBT
+        for k, i in enumerate(arabic):
+            t = texts[i]
+            g = "fa" if fa[k] > ar[k] else "ar"
+            if not sure[k] or t.count(" ") + t.count("\n") < 6:
+                f, a = sum(t.count(x) for x in "یکگپچژ"), sum(t.count(x) for x in "يكىةأإ")
+                g = "fa" if f > a else "ar" if a > f else g
+            out[i] = g
         return out
 
 
@@ -322,7 +322,7 @@ def identify(regions: DataFrame, headers: DataFrame, model: Model) -> DataFrame:
             b["segments"] = [[{"start": a, "end": z, "lang": g, "confidence": c} for a, z, g, c in segments(t, h, model)] for t, h in zip(b["text"], b["headers"])]
             yield b.drop(columns=["headers"])
 
-    joined = regions.join(per_doc, "doc_id", "left")
+    joined = regions.drop("headers", "segments").join(per_doc, "doc_id", "left")
     schema = T.StructType([f for f in joined.schema.fields if f.name != "headers"] + [T.StructField("segments", T.ArrayType(SEGMENT))])
     return joined.mapInPandas(find, schema)
 

@@ -211,19 +211,18 @@ def character_counts(texts: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             seen: collections.Counter = collections.Counter()
             chars: dict = {}
-            for text in b["text"]:
-                if not text or text.isascii():
-                    continue
-                spans = sentence_spans(text)
-                langs = model.spellings([text[a:z] for a, z in spans])
-                for (a, z), lang in zip(spans, langs):
-                    s = text[a:z]
-                    if not s.isascii():
-                        chars.setdefault(lang or "", collections.Counter()).update(s)
-                    if lang == "fa":
-                        seen.update(("fa", w) for w in JOINED.findall(s))
+            parts = [text[a:z] for text in b["text"] if text and not text.isascii() for a, z in sentence_spans(text)]
+            chars["latin"] = collections.Counter("\n".join(text for text in b["text"] if text and text.isascii()))
+            by_lang: dict[str, list[str]] = {}
+            for s, lang in zip(parts, model.spellings(parts)):
+                by_lang.setdefault(lang, []).append(s)
+            for lang, own in by_lang.items():
+                whole = "\n".join(own)
+                chars[lang] = chars.get(lang, collections.Counter()) + collections.Counter(whole)
+                if lang == "fa":
+                    seen.update(("fa", w) for w in JOINED.findall(whole))
             for g, own in chars.items():
-                seen.update({(g, c): n for c, n in own.items() if not c.isascii()})
+                seen.update({(g, c): n for c, n in own.items()})
             yield pd.DataFrame([(g, c, n) for (g, c), n in seen.items()], columns=COUNTS.names)
 
     return texts.select("text").mapInPandas(count, COUNTS).groupBy("lang", "form").agg(F.sum("n").alias("n"))
@@ -262,13 +261,14 @@ def unify(texts: DataFrame, model: Model) -> DataFrame:
         for b in batches:
             new, odd = [], []
             headers = b["headers"] if "headers" in b else [None] * len(b)
-            for text, heads in zip(b["text"], headers):
+            placed = [stretches(t, set(h) if h is not None else set()) if t and not t.isascii() else [] for t, h in zip(b["text"], headers)]
+            told = iter(model.spellings([t[a:z] for t, spans in zip(b["text"], placed) for a, z in spans]))
+            for text, spans in zip(b["text"], placed):
                 if not text or text.isascii():
                     new.append(text)
                     odd.append(False)
                     continue
-                spans = stretches(text, set(heads) if heads is not None else set())
-                langs = model.spellings([text[a:z] for a, z in spans])
+                langs = [next(told) for _ in spans]
                 parts, at, found = [], 0, False
                 for (a, z), lang in zip(spans, langs):
                     s = text[a:z]
