@@ -256,8 +256,13 @@ SEGMENT = T.StructType([T.StructField("start", T.IntegerType()), T.StructField("
 LEAST_WORDS, LEAST_CONFIDENCE = 3, 0.55
 
 
+@lru_cache(maxsize=300_000)
+def _key_word(raw: str) -> str:
+    return re.sub(r"[\W_]+", " ", skeleton(raw)).strip()
+
+
 def _line_key(line: str) -> str:
-    return re.sub(r"[\W_]+", " ", skeleton(line)).strip()
+    return " ".join(k for k in map(_key_word, line.split()) if k)
 
 
 def without_furniture(text: str, headers: set[str]) -> str:
