@@ -198,6 +198,18 @@ class Model:
             out[i] = g
         return out
 
+    def languages(self, texts: list[str]) -> list[str]:
+        """The language of each text: ar or fa as by its spelling, else the nearest Latin one; empty where none is near."""
+        out = self.spellings(texts)
+        latin = [i for i, g in enumerate(out) if g == "latin"]
+        columns = [k for k, g in enumerate(self.order) if g not in ARABIC_SCRIPT]
+        if not latin or not columns:
+            return ["" if g == "latin" else g for g in out]
+        s = self.scores([texts[i] for i in latin])[:, columns]
+        for i, k, best in zip(latin, s.argmax(axis=1), s.max(axis=1)):
+            out[i] = self.order[columns[k]] if best >= REJECT else ""
+        return out
+
 
 def fit(sentences: pd.DataFrame, seed: int = 0) -> Model:
     """sentences: text, lang. Deterministic for the same rows."""

@@ -3,8 +3,9 @@
 Look-alike classes are the transitive closure (union-find) of pairs of strings and code points: Unicode's own
 font, width, contextual and ligature forms, composed and decomposed letters, letters of other scripts that
 share a shape, Arabic and Persian letters that share one, and characters without shape. In every sentence the
-representative of a class is its member most frequent in the sentence's language over the whole corpus, and a
-multi-pattern automaton rewrites the text greedily, longest member first.
+representative of a class is its member most frequent in the sentence's language over the whole
+corpus, and a multi-pattern automaton rewrites the text greedily, longest member first. A text is found where
+this changes it.
 """
 
 from __future__ import annotations
@@ -21,11 +22,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliora.llm.langid import Model, heading_keys, sentence_spans, stretches
+from foliora.session import cut_lineage
 from foliora.sources.tables import once, table
 
 # Letters of other scripts by the Latin letter of the same shape.
 CYRILLIC_SHAPES = dict(zip("авеосрухіјѕһԁԛԝАВЕЅІЈКМНОРСТУХҮԌ", "aBeocpyxijshdqwABESIJKMHOPCTYXYG"))
-CYRILLIC_SHAPES.update({"в": "ʙ", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï"})
+CYRILLIC_SHAPES.update({"в": "ʙ", "к": "ĸ", "м": "ᴍ", "н": "ʜ", "т": "ᴛ", "ё": "ë", "ї": "ï", "Ё": "Ë", "Ї": "Ï"})
 GREEK_SHAPES = dict(zip("οριναυκϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "opivauĸcjABEZHIKMNOPTYX"))
 # Greek letters that stand alone in scientific terms.
 SCIENTIFIC = set("αβγδεηθκλμνπρστφχψωΔΣΩ") - set("νρ")
@@ -77,7 +79,7 @@ def look_alikes() -> Union:
         kind = d.split(" ")[0]
         plain = unicodedata.normalize("NFKC", c)
         if kind in KINDS or 0xFB00 <= i < 0xFB07:
-            if plain != c and plain.strip() and " " not in plain:
+            if plain != c and plain.strip():
                 u.join(c, plain)
         elif not kind.startswith("<") and unicodedata.normalize("NFC", c) == c:
             u.join(c, unicodedata.normalize("NFD", c))
@@ -135,65 +137,56 @@ def plain(text: str | None) -> str:
 
 
 def representatives(counts: dict[tuple[str, str], int], lang: str) -> tuple[tuple[str, str], ...]:
-    """(member, representative) in one language: the member most frequent there; of equally frequent ones ASCII, then composed letters, then order. Forms that Unicode itself resolves never represent."""
+    """(member, representative) in one language: the member most frequent there; of equally frequent ones ASCII, then composed letters, then order.
+
+    Forms that Unicode itself resolves never represent, nor do letters of a script that none of the languages
+    is written in if there are others. Arabic letters of one shape are each proper outside Arabic and Persian sentences.
+    """
     own = OWN.get(lang)
+    letters = {c for pair in ARABIC_SHAPES for c in pair}
     pairs = []
     for members in look_alikes().classes().values():
         if own and (keep := own & set(members)):
             reps, rest = keep, [m for m in members if m not in keep]
             rep = max(sorted(reps), key=lambda m: counts.get((lang, m), 0))
+        elif not own and letters & set(members):
+            pairs += [(m, k) for m in members if (k := unicodedata.normalize("NFKC", m)) != m]
+            continue
         else:
             stable = [m for m in members if unicodedata.normalize("NFKC", m) == m] or members
+            stable = [m for m in stable if not _FOREIGN.search(m)] or stable
             rep = max(sorted(stable, key=lambda m: (not m.isascii(), any(unicodedata.combining(c) for c in m), m)), key=lambda m: counts.get((lang, m), 0) if len(m) == 1 else 0)
             rest = [m for m in members if m != rep]
         pairs += [(m, rep) for m in rest]
     return tuple(sorted(pairs))
 
 
+_FOREIGN = re.compile("[\u0370-\u052f]")
 _ODD_SPACE = re.compile("[" + SPACE_SHAPES + "]")
 _HIDDEN = re.compile("[" + INVISIBLE + "]")
+JOINER = "\u200c"
 JOINED = re.compile("[^\\W\\d_]+(?:\u200c[^\\W\\d_]*)+")
 
 
-@lru_cache(maxsize=300_000)
-def _strange_word(word: str, lang: str | None) -> bool:
-    """Joiners apart: does a printed word hold a character that is another than it looks, or that has no look?"""
-    for c in word:
-        if c in INVISIBLE and not (c == "\u200c" and lang == "fa"):
-            return True
-    if unicodedata.normalize("NFC", word) != word:
-        return True
-    own = OWN.get(lang or "")
-    for w in LETTER_RUN.findall(word):
-        scripts = set()
-        for c in w:
-            o = ord(c)
-            if o < 0x80:
-                scripts.add("latin")
-            elif 0xFB00 <= o < 0xFB07 or 0xFB50 <= o < 0xFE00 or 0xFE70 <= o < 0xFF00 or 0xFF01 <= o < 0xFFE0 or 0x1D400 <= o < 0x1D800:
-                return True
-            elif 0x370 <= o < 0x400:
-                scripts.add("greek")
-            elif 0x400 <= o < 0x530:
-                scripts.add("cyrillic")
-            elif o < 0x250:
-                scripts.add("latin")
-            elif 0x600 <= o < 0x780:
-                scripts.add("arabic")
-                if own and c in "يىیكکہەھۃې" and c not in own:
-                    return True
-        if "cyrillic" in scripts or ("greek" in scripts and (len(scripts) > 1 or not all(c in SCIENTIFIC for c in w))):
-            return True
-    return any(0xFF01 <= ord(c) < 0xFFE0 or 0x1D7CE <= ord(c) < 0x1D800 for c in word)  # signs and digits of other widths or fonts
-
-
-def strange(sentence: str, lang: str | None, joiners: frozenset[str]) -> bool:
-    """Does a sentence hold a character, or sequence, that looks like a plain one of its language, or like nothing, but is another?"""
-    if sentence.isascii():
-        return False
-    if _ODD_SPACE.search(sentence) or any(_strange_word(w, lang) for w in sentence.split()):
-        return True
-    return lang == "fa" and "\u200c" in sentence and any(w not in joiners for w in JOINED.findall(sentence))
+def one_form(word: str, lang: str, pairs: tuple[tuple[str, str], ...], joiners: frozenset[str]) -> str:
+    """A printed word in the characters of its sentence's language. Scientific Greek letters that stand alone and the joiners of proper Persian spelling stay."""
+    if word.isascii():
+        return word
+    hidden = [] if lang != "fa" or JOINER not in word else [JOINER]
+    bare = "".join(c for c in word if c not in INVISIBLE or c in hidden)
+    bare, parts, at = unicodedata.normalize("NFC", bare), [], 0
+    for m in LETTER_RUN.finditer(bare):
+        if all(c in SCIENTIFIC for c in m[0]):
+            parts += [rewrite(bare[at : m.start()], pairs), m[0]]
+            at = m.end()
+    out = "".join(parts) + rewrite(bare[at:], pairs)
+    if hidden:
+        parts, at = [], 0
+        for m in JOINED.finditer(out):
+            parts += [out[at : m.start()].replace(JOINER, ""), m[0] if m[0] in joiners else m[0].replace(JOINER, "")]
+            at = m.end()
+        out = "".join(parts) + out[at:].replace(JOINER, "")
+    return out
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("form", T.StringType()), T.StructField("n", T.LongType())])
@@ -203,50 +196,55 @@ MOST_FORMS = 500_000
 
 
 def character_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """lang, form, n: characters of the classes, by language of their sentence, over all texts; and words with a joiner, and the same without it."""
+    """lang, form, n over all texts: characters, by language of their sentence; and words of Persian sentences (form begins with a space), by texts."""
 
     def count(batches):
         import collections
 
         for b in batches:
             seen: collections.Counter = collections.Counter()
-            chars: dict = {}
-            parts = [text[a:z] for text in b["text"] if text and not text.isascii() for a, z in sentence_spans(text)]
-            chars["latin"] = collections.Counter("\n".join(text for text in b["text"] if text and text.isascii()))
+            placed = [(k, text[a:z]) for k, text in enumerate(b["text"]) if text for a, z in sentence_spans(text)]
             by_lang: dict[str, list[str]] = {}
-            for s, lang in zip(parts, model.spellings(parts)):
+            words: dict[int, set[str]] = {}
+            for (k, s), lang in zip(placed, model.languages([s for _, s in placed])):
                 by_lang.setdefault(lang, []).append(s)
-            for lang, own in by_lang.items():
-                whole = "\n".join(own)
-                chars[lang] = chars.get(lang, collections.Counter()) + collections.Counter(whole)
                 if lang == "fa":
-                    seen.update(("fa", w) for w in JOINED.findall(whole))
-            for g, own in chars.items():
-                seen.update({(g, c): n for c, n in own.items()})
+                    own = words.setdefault(k, set())
+                    own.update(LETTER_RUN.findall(s))
+                    own.update(JOINED.findall(s))
+            for lang, own in by_lang.items():
+                seen.update({(lang, c): n for c, n in collections.Counter("\n".join(own)).items()})
+            for own in words.values():
+                seen.update(("fa", " " + w) for w in own)
             yield pd.DataFrame([(g, c, n) for (g, c), n in seen.items()], columns=COUNTS.names)
 
     return texts.select("text").mapInPandas(count, COUNTS).groupBy("lang", "form").agg(F.sum("n").alias("n"))
 
 
 def unify(texts: DataFrame, model: Model) -> DataFrame:
-    """The input rows with ``plain`` (one form) and ``strange`` (was any character another than it looks).
+    """The input rows with ``plain`` (one form) and ``strange`` (did the rewriting change any character).
 
     texts needs a column text, and may have headers (array of the headings of the text's pages). Two passes: counts of characters by language over all texts, then the
     rewriting. Null and empty texts stay as they are and are not strange; very long texts are read whole;
     of members with equal counts the plain one counts.
     """
-    held = character_counts(texts, model).filter("n >= 1").limit(MOST_FORMS + 1).collect()
-    if len(held) > MOST_FORMS:
+    counted = cut_lineage(character_counts(texts, model))
+    words = counted.filter("form like ' _%'").select(F.substring("form", 2, 1 << 30).alias("form"), "n")
+    held = counted.filter("form not like ' _%'").limit(MOST_FORMS + 1).collect()
+    forms = words.filter(F.contains("form", F.lit(JOINER)) & (F.col("n") >= 3)).limit(MOST_FORMS + 1).collect()
+    if max(len(held), len(forms)) > MOST_FORMS:
         raise ValueError(f"more than {MOST_FORMS} distinct forms")
     counts = {(r["lang"], r["form"]): r["n"] for r in held}
-    joiners = frozenset(form for (lang, form), n in counts.items() if lang == "fa" and "‌" in form and len(form) > 1 and n >= 3)
+    joiners = frozenset(r["form"] for r in forms)
     reps = {lang: representatives(counts, lang) for lang in {lang for lang, _ in counts} | {""}}
 
     def apply(batches):
         words: dict = {}
 
         def unified(s: str, lang: str) -> str:
-            """Word by word, each distinct one rewritten once; the automaton has no member with a space inside."""
+            """Word by word, each distinct one rewritten once; the automaton rewrites no member with a space inside."""
+            if s.isascii():
+                return s
             parts = re.split(r"(\s+)", _ODD_SPACE.sub(" ", s))
             for k, w in enumerate(parts):
                 if w and not w.isascii():
@@ -254,37 +252,29 @@ def unify(texts: DataFrame, model: Model) -> DataFrame:
                     if key not in words:
                         if len(words) > 200_000:
                             words.clear()
-                        words[key] = rewrite(w, reps.get(lang, reps[""]))
+                        words[key] = one_form(w, lang, reps.get(lang, reps[""]), joiners)
                     parts[k] = words[key]
             return "".join(parts)
 
+        def between(s: str) -> str:
+            return s if s.isascii() else _HIDDEN.sub("", _ODD_SPACE.sub(" ", s))
+
         for b in batches:
-            new, odd = [], []
+            new = []
             headers = b["headers"] if "headers" in b else [None] * len(b)
             placed = [stretches(t, set(h) if h is not None else set()) if t and not t.isascii() else [] for t, h in zip(b["text"], headers)]
-            told = iter(model.spellings([t[a:z] for t, spans in zip(b["text"], placed) for a, z in spans]))
+            told = iter(model.languages([s for t, spans in zip(b["text"], placed) for a, z in spans if not (s := t[a:z]).isascii()]))
             for text, spans in zip(b["text"], placed):
                 if not text or text.isascii():
                     new.append(text)
-                    odd.append(False)
                     continue
-                langs = [next(told) for _ in spans]
-                parts, at, found = [], 0, False
-                for (a, z), lang in zip(spans, langs):
+                parts, at = [], 0
+                for a, z in spans:
                     s = text[a:z]
-                    found = found or strange(s, lang, joiners)
-                    r = unified(s, lang or "")
-                    if lang == "fa":
-                        r = JOINED.sub(lambda m: m[0] if m[0] in joiners else m[0].replace("‌", ""), r)
-                        r = "".join(c for c in r if c == "‌" or c not in INVISIBLE)
-                    else:
-                        r = "".join(c for c in r if c not in INVISIBLE)
-                    parts += [text[at:a], r]
+                    parts += [between(text[at:a]), s if s.isascii() else unified(s, next(told))]
                     at = z
-                tail = text[at:]
-                new.append("".join(parts) + tail)
-                odd.append(found or any(c in INVISIBLE or c in SPACE_SHAPES for c in tail))
-            yield b.assign(plain=new, strange=odd)
+                new.append("".join(parts) + between(text[at:]))
+            yield b.assign(plain=new, strange=[bool(t) and t != p for t, p in zip(b["text"], new)])
 
     schema = T.StructType([*[f for f in texts.schema.fields if f.name not in ("plain", "strange")], T.StructField("plain", T.StringType()), T.StructField("strange", T.BooleanType())])
     return texts.mapInPandas(apply, schema)

@@ -50,6 +50,14 @@ def test_lookalikes(spark, model):
     assert lookalikes.unify(df.limit(0), model).count() == 0
 
 
+def test_lookalikes_found_by_rewriting(spark, model):
+    odd = ["Take ℓ of the dose now, please.", "Take the doℎe now, please do it.", "The ℹnfo on the dose is here.", "The 𞸀 is here.", "Take the dose.​ Do it now.", "Take the αose now, please."]
+    fine = ["Take 5 µg of the dose now.", "The α-chain of it binds.", "The name is علي or على or علی here."]
+    got = {r["k"]: r for r in lookalikes.unify(spark.createDataFrame(list(enumerate(odd + fine + ["Take the dose now."])), "k int, text string"), model).collect()}
+    assert [got[k]["strange"] for k in range(len(odd) + len(fine))] == [True] * len(odd) + [False] * len(fine)
+    assert got[0]["plain"] == "Take l of the dose now, please." and got[len(odd) + 1]["plain"] == fine[1]
+
+
 LIST = ["paracetol", "ibuprofex", "metformine", "aspirol metformine", "zopiclonax"]
 
 
