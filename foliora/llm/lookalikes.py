@@ -3,7 +3,7 @@
 Look-alike classes are the transitive closure (union-find) of pairs of strings and code points: Unicode's own
 font, width, contextual and ligature forms, composed and decomposed letters, letters of other scripts that
 share a shape, Arabic and Persian letters that share one, and characters without shape. In every sentence the
-representative of a class is its member most frequent in the sentence's language over the whole
+representative of a class is its member most frequent in the sentence's language over the distinct texts of the
 corpus, and a multi-pattern automaton rewrites the text greedily, longest member first. A text is found where
 this changes it.
 """
@@ -189,6 +189,23 @@ def one_form(word: str, lang: str, pairs: tuple[tuple[str, str], ...], joiners:
     return out
 
 
+# Persian prefixes and endings that are written with a joiner.
+PREFIXES, ENDINGS = set("می نمی بی به هم کم پیش پس باز".split()), set("ها های هایی ام ات اش ای اید ایم اند تر ترین".split())
+#: Least share of a joined spelling among it and the same without joiners, and the distinct texts from which it needs no like form.
+JOINED_SHARE, JOINED_TEXTS = 0.5, 3
+
+
+def proper_joined(forms: dict[str, tuple[int, int]]) -> frozenset[str]:
+    """The joined spellings that are proper, of form: (distinct texts with it, distinct texts with the same unjoined).
+
+    One in few texts also needs a usual prefix or ending, or another one that holds it (words cut at a line) or has its first or last part.
+    """
+    usual = {f: n for f, (n, bare) in forms.items() if f[-1] != JOINER and n >= JOINED_SHARE * (n + bare)}
+    sure = {f for f, n in usual.items() if n >= JOINED_TEXTS}
+    first, last, whole = {*PREFIXES, *(f.split(JOINER)[0] for f in sure)}, {*ENDINGS, *(f.split(JOINER)[-1] for f in sure)}, "\n".join(sorted(sure))
+    return frozenset(f for f in usual if f in sure or f.split(JOINER)[0] in first or f.split(JOINER)[-1] in last or f in whole)
+
+
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("form", T.StringType()), T.StructField("n", T.LongType())])
 UNIFIED = T.StructType([T.StructField("text", T.StringType()), T.StructField("strange", T.BooleanType())])
 #: Most distinct forms that a broadcast table may hold; the operator stops beyond it.
@@ -196,7 +213,7 @@ MOST_FORMS = 500_000
 
 
 def character_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """lang, form, n over all texts: characters, by language of their sentence; and words of Persian sentences (form begins with a space), by texts."""
+    """lang, form, n over the distinct texts: characters, by language of their sentence; and words of Persian sentences (form begins with a space), by distinct texts."""
 
     def count(batches):
         import collections
@@ -218,24 +235,27 @@ def character_counts(texts: DataFrame, model: Model) -> DataFrame:
                 seen.update(("fa", " " + w) for w in own)
             yield pd.DataFrame([(g, c, n) for (g, c), n in seen.items()], columns=COUNTS.names)
 
-    return texts.select("text").mapInPandas(count, COUNTS).groupBy("lang", "form").agg(F.sum("n").alias("n"))
+    return texts.select("text").distinct().mapInPandas(count, COUNTS).groupBy("lang", "form").agg(F.sum("n").alias("n"))
 
 
 def unify(texts: DataFrame, model: Model) -> DataFrame:
     """The input rows with ``plain`` (one form) and ``strange`` (did the rewriting change any character).
 
-    texts needs a column text, and may have headers (array of the headings of the text's pages). Two passes: counts of characters by language over all texts, then the
+    texts needs a column text, and may have headers (array of the headings of the text's pages). Two passes: counts of characters by language over all distinct texts, then the
     rewriting. Null and empty texts stay as they are and are not strange; very long texts are read whole;
     of members with equal counts the plain one counts.
     """
     counted = cut_lineage(character_counts(texts, model))
     words = counted.filter("form like ' _%'").select(F.substring("form", 2, 1 << 30).alias("form"), "n")
+    bare = words.select(F.col("form").alias("bare"), F.col("n").alias("m"))
+    joined = words.filter(F.contains("form", F.lit(JOINER))).withColumn("bare", F.replace("form", F.lit(JOINER), F.lit(""))).join(bare, "bare", "left").select("form", "n", F.coalesce("m", F.lit(0)).alias("m"))
+    proper = joined.filter(F.col("n") >= JOINED_SHARE * (F.col("n") + F.col("m")))
     held = counted.filter("form not like ' _%'").limit(MOST_FORMS + 1).collect()
-    forms = words.filter(F.contains("form", F.lit(JOINER)) & (F.col("n") >= 3)).limit(MOST_FORMS + 1).collect()
+    forms = proper.limit(MOST_FORMS + 1).collect()
     if max(len(held), len(forms)) > MOST_FORMS:
         raise ValueError(f"more than {MOST_FORMS} distinct forms")
     counts = {(r["lang"], r["form"]): r["n"] for r in held}
-    joiners = frozenset(r["form"] for r in forms)
+    joiners = proper_joined({r["form"]: (r["n"], r["m"]) for r in forms})
     reps = {lang: representatives(counts, lang) for lang in {lang for lang, _ in counts} | {""}}
 
     def apply(batches):

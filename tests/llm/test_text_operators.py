@@ -58,6 +58,16 @@ def test_lookalikes_found_by_rewriting(spark, model):
     assert got[0]["plain"] == "Take l of the dose now, please." and got[len(odd) + 1]["plain"] == fine[1]
 
 
+def test_stray_joiners(spark, model):
+    forms = {"می‌شود": (1, 0), "چا‌پ": (5, 68), "چاپ‌": (9, 0), "چاپ‌شده": (4, 0), "اپ‌شده": (1, 0), "جلی‌تیس": (2, 0)}
+    assert lookalikes.proper_joined(forms) == {"می‌شود", "چاپ‌شده", "اپ‌شده"}
+    stray = "اگر تب یا تهوع دیدید به پز‌شک خود بگویید."
+    rows = [stray] * 5 + ["اگر تب یا تهوع دیدید به پزشک خود بگویید.", "مقدار را با آب‌ فراوان بخورید و نجوید.", *FA]
+    got = {r["k"]: r for r in lookalikes.unify(spark.createDataFrame(list(enumerate(rows)), "k int, text string"), model).collect()}
+    assert [got[k]["strange"] for k in range(len(rows))] == [True] * 5 + [False, True] + [False] * len(FA)
+    assert got[0]["plain"] == rows[5]
+
+
 LIST = ["paracetol", "ibuprofex", "metformine", "aspirol metformine", "zopiclonax"]
 
 
