@@ -148,16 +148,21 @@ def train_chooser(frequent: list[tuple[str, int]]) -> Boosted:
         bad = misread(w, rng, 1 + (rng.random() < 0.25))
         if bad == w or bad in count:
             continue
-        n = 1 + int(rng.random() * max(1, m // 50))
+        n = 1 + int(rng.random() * max(1, m // 50 if rng.random() < 0.8 else m // 2))  # some are repeated in like texts
         x.append(pair_features(bad, n, w, m))
         y.append(1)
         for v in neighbours(bad, 4):
             if v != w:
                 x.append(pair_features(bad, n, v, count[v]))
                 y.append(0)
-        for v in neighbours(w, 3):  # words that are right as they are, often rare ones
-            x.append(pair_features(w, rng.choice([1, 2, 3, m]), v, count[v]))
-            y.append(0)
+        near = neighbours(w, 40)
+        for k, v in enumerate(near):  # words that are right as they are, often rare ones, and pairs of like count that a misreading would also make
+            made = (repaired(w, v) or 9) <= 3
+            if made and count[v] >= 3 * m:
+                continue  # w may be misread itself
+            if k < 3 or made:
+                x.append(pair_features(w, m if made else rng.choice([1, 2, 3, m]), v, count[v]))
+                y.append(0)
     if not x or not any(y):
         return Boosted(trees=0).fit(np.zeros((2, 10)), np.array([0, 1]))
     return Boosted().fit(np.array(x), np.array(y))
@@ -233,22 +238,26 @@ def train_lines(sample: pd.DataFrame) -> tuple[dict[str, float], dict[str, Boost
     return odds, models
 
 
-WORDS = T.StructType([T.StructField("kind", T.StringType()), T.StructField("word", T.StringType()), T.StructField("n", T.LongType())])
+WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("copies", T.LongType())])
 USES = T.StructType([T.StructField("src", T.StringType()), T.StructField("row_key", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """kind (word), word, n over all texts."""
+    """word, n (over distinct texts), copies (over all texts)."""
 
     def count(batches):
         for b in batches:
             seen: collections.Counter = collections.Counter()
-            for t in b["text"]:
-                if t:
-                    seen.update(w for w in tokens_of(t)[0] if len(w) <= 64)
-            yield pd.DataFrame([("word", w, n) for w, n in seen.items()], columns=WORDS.names)
+            every: collections.Counter = collections.Counter()
+            for t, copies in zip(b["text"], b["copies"]):
+                for w in tokens_of(t)[0]:
+                    if len(w) <= 64:
+                        seen[w] += 1
+                        every[w] += copies
+            yield pd.DataFrame([(w, n, every[w]) for w, n in seen.items()], columns=WORDS.names)
 
-    return texts.select("text").mapInPandas(count, WORDS).groupBy("word").agg(F.sum("n").alias("n"))
+    distinct = texts.filter("text is not null and text != ''").groupBy("text").agg(F.count("*").alias("copies"))
+    return distinct.mapInPandas(count, WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
 
 
 def find_misread(counts: DataFrame) -> DataFrame:
@@ -256,7 +265,7 @@ def find_misread(counts: DataFrame) -> DataFrame:
     sample = counts.filter((F.col("n") >= 2 * FREQUENT) & (F.length("word") >= SHORTEST) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
     model = train_chooser([(r["word"], r["n"]) for r in sample])
     long = counts.filter((F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}"))
-    frequent = long.filter((F.col("n") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\-'’\x{200c}]+$"))
+    frequent = long.filter((F.col("copies") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\-'’\x{200c}]+$"))
 
     def with_grams(df: DataFrame, name: str) -> DataFrame:
         p = F.concat(F.lit("^"), F.col(name), F.lit("$"))
@@ -266,7 +275,7 @@ def find_misread(counts: DataFrame) -> DataFrame:
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
     looked = with_grams(long.select("word", "n"), "word").join(df, "gram")
     rarest = looked.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RAREST_GRAMS).alias("g")).withColumn("g", F.explode("g")).select("word", "n", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.length("word") - 2, F.length("word"))).alias("size"))
-    pairs = rarest.join(index, ["gram", "size"]).filter((F.col("m") >= 3 * F.col("n")) & (F.col("target") != F.col("word"))).select("word", "n", "target", "m").distinct()
+    pairs = rarest.join(index, ["gram", "size"]).filter(F.col("target") != F.col("word")).select("word", "n", "target", "m").distinct()
 
     def score(batches):
         for b in batches:

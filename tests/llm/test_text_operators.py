@@ -119,6 +119,22 @@ def test_scan_noise(spark):
     assert {(1, "hyphen"), (2, "char"), (3, "header"), (4, "page_number")} <= got and not {k for k, _ in got} & {5, 6, 7, 8}
 
 
+def word_table(spark, rows):
+    return spark.createDataFrame([(w, n, n) for w, n in rows], "word string, n bigint, copies bigint")
+
+
+USUAL = [(w, 60 + k) for k, w in enumerate("usually medicine doctor hospital patient headache morning evening children tablets combination amount section before number".split())]
+
+
+def test_misread_word_in_many_copies(spark):
+    texts = ["the doctor said usually or before.", *[f"usually the number {w} comes before." for w, _ in USUAL]] + ["it is usiially so."] * 20
+    counts = scannoise.word_counts(spark.createDataFrame([(t,) for t in texts], "text string"))
+    got = {r["word"]: (r["n"], r["copies"]) for r in counts.collect()}
+    assert got["usiially"] == (1, 20) and got["usually"][0] == 17
+    found = scannoise.find_misread(counts.filter("word = 'usiially'").unionByName(word_table(spark, USUAL))).collect()
+    assert ("usiially", "usually") in {(r["word"], r["replacement"]) for r in found}
+
+
 def brute_fill(lengths, room):
     best = {0}
     for n in lengths:
