@@ -36,7 +36,9 @@ MISREADINGS = {
 HYPHENS = "-‐‑¬"
 #: Least count of a word that can replace others, longest and shortest words looked at, training words and lines (documented bounds), least probability.
 FREQUENT, SHORTEST, TRAIN_WORDS, TRAIN_LINES, LEAST_P = 3, 4, 1500, 4000, 0.5
-RAREST_GRAMS = 6
+#: Misreadings in a word, the letters that one adds, and the trigrams that one can damage (a sign of two letters stands in four): one trigram more than all damage.
+MOST_MISREAD, ADDED, DAMAGED = 3, 1, 4
+RAREST_GRAMS = MOST_MISREAD * DAMAGED + 1
 #: Commonest words known to every task.
 COMMON = 20_000
 
@@ -274,8 +276,8 @@ def find_misread(counts: DataFrame) -> DataFrame:
     index = with_grams(frequent.select(F.col("word").alias("target"), F.col("n").alias("m")), "target").withColumn("size", F.length("target"))
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
     looked = with_grams(long.select("word", "n"), "word").join(df, "gram")
-    rarest = looked.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RAREST_GRAMS).alias("g")).withColumn("g", F.explode("g")).select("word", "n", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.length("word") - 2, F.length("word"))).alias("size"))
-    pairs = rarest.join(index, ["gram", "size"]).filter(F.col("target") != F.col("word")).select("word", "n", "target", "m").distinct()
+    rarest = looked.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RAREST_GRAMS).alias("g")).withColumn("g", F.explode("g")).select("word", "n", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.length("word") - MOST_MISREAD * ADDED, F.length("word"))).alias("size"))
+    pairs = rarest.join(index, ["gram", "size"]).filter((F.col("target") != F.col("word")) & (F.levenshtein("word", "target", 2 * MOST_MISREAD) >= 0)).select("word", "n", "target", "m").distinct()
 
     def score(batches):
         for b in batches:

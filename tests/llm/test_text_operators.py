@@ -135,6 +135,12 @@ def test_misread_word_in_many_copies(spark):
     assert ("usiially", "usually") in {(r["word"], r["replacement"]) for r in found}
 
 
+def test_misread_word_whose_rarest_trigrams_are_damaged(spark):
+    decoys = [(w, 90) for w in "corx xorn xrnb xnbi xbir xiri xria xiat nation station ration cotion relation action cobalt coat cosy comet condition".split()]
+    found = scannoise.find_misread(word_table(spark, USUAL + decoys + [("cornbiriation", 1)])).collect()
+    assert ("cornbiriation", "combination") in {(r["word"], r["replacement"]) for r in found}
+
+
 def brute_fill(lengths, room):
     best = {0}
     for n in lengths:
