@@ -57,6 +57,7 @@ _NAMES[0] = re.compile(rf"(?<![\w-])(?=(?P<n>{TOK} {TOK})(?![\w'’-]))")
 _ARABIC_WORD = "[ء-يٱ-ۓ‌]+"
 _ARABIC_NAME = re.compile(rf"(?<![\w‌])(?=(?P<n>{_ARABIC_WORD} {_ARABIC_WORD})(?![\w‌]))")
 _ARABIC_CUE = re.compile(rf"(?:{'|'.join(w for w in CUES['name'] if not w.isascii() and w[-1] > 'ء')})[ :]*$")
+_ARABIC_AFTER = re.compile(rf" ?(?:{'|'.join(w for w in AFTER['name'] if w[-1] > 'ء')})")
 _HOUSE = rf"{D}{{1,4}}(?: ?[a-d](?![\w])| ?bis| ?ter)?"
 _ADDRESS = [
     re.compile(rf"(?<![\w.-]){_HOUSE},? (?:[{UP}][\w'’-]+ ){{1,3}}(?:{'|'.join(s.capitalize() for s in STREETS_AFTER)}|{'|'.join(s.upper() for s in STREETS_AFTER)})\b"),
@@ -251,11 +252,42 @@ def redact(text: str, spans: list[tuple[str, int, int, float]]) -> str:
 SPAN = T.StructType([T.StructField("kind", T.StringType()), T.StructField("start_pos", T.IntegerType()), T.StructField("end_pos", T.IntegerType()), T.StructField("p", T.DoubleType())])
 
 
+#: Least distinct texts in which a first word stands beside a cue, and most first words that may go to every task.
+LEAST_CUED, MOST_KNOWN = 3, 500_000
+
+
+def cued_first_words(documents: DataFrame) -> frozenset[str]:
+    """First words of the pairs in Arabic script that stand after a cue of a name, or before one, over all distinct texts."""
+
+    def count(batches):
+        for b in batches:
+            seen: collections.Counter = collections.Counter()
+            for t in b["text"]:
+                own = set()
+                for m in _ARABIC_NAME.finditer(t):
+                    a, z = m.span("n")
+                    if _ARABIC_CUE.search(t, max(0, a - 16), a) or _ARABIC_AFTER.match(t, z):
+                        left, right, last, first = beside(t, a, z)
+                        if cue("name", last, first) > 0:
+                            own.update(name_words(m["n"])[:1])
+                seen.update(own)
+            yield pd.DataFrame(list(seen.items()), columns=["word", "n"])
+
+    texts = documents.select("text").filter(F.col("text").rlike("[ء-ۓ]")).distinct()
+    counts = texts.mapInPandas(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") >= LEAST_CUED)
+    rows = counts.select("word").limit(MOST_KNOWN + 1).collect()
+    if len(rows) > MOST_KNOWN:
+        raise ValueError(f"more than {MOST_KNOWN} first words of names")
+    return frozenset(r["word"] for r in rows)
+
+
 def fitted(documents: DataFrame, most: int = TRAIN_DOCS) -> Finder:
-    """Trees trained on at most ``most`` documents, those of smallest hash among documents that may hold a detail; whole texts."""
+    """Trees trained on at most ``most`` distinct texts, those of smallest hash among documents that may hold a detail; whole texts. First words of names in Arabic script come from all documents."""
     marks = r"[@+]|\d{4}|\[at\]|\(at\)|\p{N}{3}[ .-]\p{N}{3}|Dr\.|Mrs|Mr\.|Frau|señor|Patient|par |المريض|الحالة|خانم|گزارش"
-    sample = documents.select("text").filter(F.col("text").rlike(marks) & (F.length("text") < 20_000)).withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(most).select("text").toPandas()
-    return Finder().fit(sample["text"].tolist())
+    sample = documents.select("text").filter(F.col("text").rlike(marks) & (F.length("text") < 20_000)).distinct().withColumn("h", F.xxhash64("text")).orderBy("h", "text").limit(most).select("text").toPandas()
+    finder = Finder().fit(sample["text"].tolist())
+    finder.known |= cued_first_words(documents)
+    return finder
 
 
 def redactions(documents: DataFrame, finder: Finder) -> DataFrame:

@@ -213,3 +213,12 @@ def test_privacy(spark):
     rows = {r["doc_id"]: r for r in privacy.redactions(df, f).collect()}
     assert len(rows[1]["spans"]) == 4 and rows[2]["redacted"] is None and rows[3]["redacted"] == ""
     assert privacy.redactions(df.limit(0), f).count() == 0
+
+
+def test_first_words_of_names_from_all_documents(spark):
+    cued = [f"وصل اليوم {k} تقرير عن المريضة سلوان خالدي صباحا." for k in range(3)]
+    docs = spark.createDataFrame([(t,) for t in cued + ["عن المريضة نادر خالدي."] * 5 + ["a text", None]], "text string")
+    assert privacy.cued_first_words(docs) == {"سلوان"}
+    known = privacy.fitted(docs, most=0).known
+    later = "وقد زار سلوان خالدي الصيدلية"
+    assert "سلوان خالدي" in {later[a:z] for k, a, z in privacy.candidates(later, known) if k == "name"}
