@@ -3,8 +3,10 @@
 Line-pair classifiers (gradient-boosted trees) decide whether a hyphen at a line end cuts a word and whether
 a line is furniture; they learn from the corpus itself, from whole words that are broken artificially and from
 the regions that the layout step marked as headings and footers. Misread words are found among all distinct
-words of the corpus: candidates come from an inverted join on letter trigrams with the frequent words, and
-boosted trees, trained on frequent words misread artificially, choose the replacement.
+words of the corpus: candidates come from an inverted join on letter trigrams with the frequent words (and, for
+words too short to keep a trigram and words with signs among their letters, from undoing the misreadings), and
+boosted trees, trained on frequent words misread artificially, choose the replacement. What is decided becomes
+edits of a text; applying them gives its paragraphs.
 """
 
 from __future__ import annotations
@@ -13,7 +15,9 @@ import collections
 import math
 import random
 import re
+import zlib
 from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -22,8 +26,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliora.llm.boost import Boosted
-from foliora.llm.langid import _PAGE, _line_key, heading_keys
-from foliora.llm.lookalikes import plain
+from foliora.llm.langid import _HEADING, _PAGE, _line_key, heading_keys
+from foliora.llm.lookalikes import INVISIBLE, look_alikes, plain
+from foliora.llm.sieve import BITS, sieve
 from foliora.session import cut_lineage
 from foliora.sources.tables import once, table
 
@@ -34,13 +39,13 @@ MISREADINGS = {
     "ا": ["١", "|", "1"], "ه": ["٥", "5"], "و": ["9", "٩"], "ر": ["د"], "۱": ["|"],
 }
 HYPHENS = "-‐‑¬"
-#: Least count of a word that can replace others, longest and shortest words looked at, training words and lines (documented bounds), least probability.
-FREQUENT, SHORTEST, TRAIN_WORDS, TRAIN_LINES, LEAST_P = 3, 4, 1500, 4000, 0.5
+#: Least count of a word that can replace others, shortest words looked at, training words and lines (documented bounds), least probability.
+FREQUENT, SHORTEST, TRAIN_WORDS, TRAIN_LINES, LEAST_P = 3, 2, 1500, 4000, 0.5
 #: Misreadings in a word, the letters that one adds, and the trigrams that one can damage (a sign of two letters stands in four): one trigram more than all damage.
 MOST_MISREAD, ADDED, DAMAGED = 3, 1, 4
 RAREST_GRAMS = MOST_MISREAD * DAMAGED + 1
-#: Commonest words known to every task.
-COMMON = 20_000
+#: Words up to this length may have no trigram left after one misreading; they are looked up by undoing it.
+SHORT = 5
 
 _WORD = re.compile(r"[^\s.,;:?()\"؟،؛«»/]+")
 _CUT = re.compile(rf"([^\W\d_]+)([ ]?)[{HYPHENS}]([ ]?)$")
@@ -61,31 +66,47 @@ def _odd_word(w: str) -> bool:
     return not w.isalpha() and bool(_SIGN_INSIDE.search(plain(w)))
 
 
-def tokens_of(text: str, heads: set[str] | None = None) -> tuple[list[str], list[tuple[str, str, int, int]]]:
-    """Words of a text, and its line-end cuts (left, right, space before, space after the hyphen); parts of cut words are not words."""
-    words, cuts = [], []
-    lines = [x for x in text.split("\n")]
+@lru_cache(maxsize=1)
+def hyphen_like() -> str:
+    """The hyphens and every character that looks like one."""
+    return HYPHENS + "".join(sorted(c for members in look_alikes().classes().values() if set(members) & set(HYPHENS) for c in members if len(c) == 1 and c not in HYPHENS))
+
+
+@lru_cache(maxsize=1)
+def _line_end() -> re.Pattern:
+    return re.compile(rf"[{re.escape(hyphen_like())}][\s{INVISIBLE}]*\n")
+
+
+def line_cuts(lines: list[str], heads: frozenset[str] | None = None) -> list[tuple[int, int, str, str, int, int]]:
+    """Possible cuts: line, line of the other part, left and right part, space before and after the hyphen. Furniture may stand between the parts."""
+    out = []
     real = [k for k, x in enumerate(lines) if x.strip()]
-    skip_first = ""
-    for pos, k in enumerate(real):
-        line = lines[k].rstrip("​‎‏﻿")
-        found = [word_form(w) for w in _WORD.findall(line)]
-        if skip_first and found:
-            found = found[1:]
-        skip_first = ""
-        m = _CUT.search(plain(line)) if line.rstrip()[-1:] in HYPHENS else None
-        if m and pos + 1 < len(real) and not _PAGE.match(line.strip()):
-            nxt = real[pos + 1]
-            for k2 in real[pos + 1 :]:  # furniture may stand between the parts
-                nxt = k2
-                if not _PAGE.match(lines[k2].strip()) and not (heads and _line_forms(lines[k2])[1] in heads):
-                    break
-            head = _HEAD.match(plain(lines[nxt]).strip())
-            if head and head[1][0].islower() == head[1][0].lower().islower():
-                cuts.append((m[1].casefold(), head[1].casefold(), int(bool(m[2])), int(bool(m[3]))))
-                found = [w for w in found[:-1]] if found else found
-                skip_first = head[1]
-        words += [w for w in found if w]
+    for pos, k in enumerate(real[:-1]):
+        line = lines[k].rstrip(INVISIBLE)
+        if line.rstrip()[-1:] not in hyphen_like() or not (m := _CUT.search(plain(line))) or _PAGE.match(line.strip()):
+            continue
+        nxt = real[pos + 1]
+        for k2 in real[pos + 1 :]:
+            nxt = k2
+            if not _PAGE.match(lines[k2].strip()) and not (heads and _line_key(lines[k2]) in heads):
+                break
+        head = _HEAD.match(plain(lines[nxt]).strip())
+        if head and head[1][0].islower() == head[1][0].lower().islower():
+            out.append((k, nxt, m[1].casefold(), head[1].casefold(), int(bool(m[2])), int(bool(m[3]))))
+    return out
+
+
+def tokens_of(text: str, heads: frozenset[str] | None = None) -> tuple[list[str], list[tuple[int, int, str, str, int, int]]]:
+    """Raw words of a text and its line-end cuts; parts of cut words are not words."""
+    if not _line_end().search(text):
+        return _WORD.findall(text), []
+    words: list[str] = []
+    lines = text.split("\n")
+    cuts = line_cuts(lines, heads)
+    last, first = {c[0] for c in cuts}, {c[1] for c in cuts}
+    for k, line in enumerate(lines):
+        found = _WORD.findall(line)
+        words += found[k in first : len(found) - 1 if k in last and found else None]
     return words, cuts
 
 
@@ -108,18 +129,56 @@ def repaired(word: str, target: str) -> int | None:
     return best.get((len(target), len(word)))
 
 
+@lru_cache(maxsize=1)
+def _origins() -> dict[str, list[str]]:
+    """Letters by the sign or letters that may be a misreading of them."""
+    out: dict[str, list[str]] = collections.defaultdict(list)
+    for c, many in MISREADINGS.items():
+        for m in many:
+            if c.casefold() not in out[m.casefold()]:
+                out[m.casefold()].append(c.casefold())
+    return dict(out)
+
+
+def _script(c: str) -> bool:
+    return c > "\u0600"
+
+
+def undone(word: str, odd: bool) -> list[str]:
+    """Words of which this may be a misreading: all its signs and digits read as letters of its script; a short word of letters with any one of its letters (or two as one) read as another."""
+    if not odd:
+        return sorted({word[:i] + c + word[i + len(m) :] for m, many in _origins().items() for i in range(len(word)) if word.startswith(m, i) for c in many}) if len(word) <= SHORT else []
+    signs = [i for i, c in enumerate(word) if not c.isalpha()]
+    letters = [c for c in word if c.isalpha()]
+    if not letters or len(signs) > MOST_MISREAD:
+        return []
+    arabic = 2 * sum(map(_script, letters)) > len(letters)
+    choices = [[c for c in _origins().get(word[i], []) if _script(c) == arabic] for i in signs]
+    out = set()
+    for picked in product(*choices):
+        new = list(word)
+        for i, c in zip(signs, picked):
+            new[i] = c
+        out.add("".join(new))
+    return sorted(out)
+
+
 def grams(w: str) -> set[str]:
     p = f"^{w}$"
     return {p[i : i + 3] for i in range(len(p) - 2)}
 
 
-def pair_features(word: str, n: int, target: str, m: int) -> list[float]:
-    """Of a word (count n) and a word that may stand behind it (count m)."""
+#: Number of features of a pair.
+PAIR = 11
+
+
+def pair_features(word: str, n: int, target: str, m: int, odd: bool) -> list[float]:
+    """Of a word (count n; odd: a sign stands among its small letters as printed) and a word that may stand behind it (count m, 0 where the corpus does not hold it)."""
     k = repaired(word, target)
     a, b = grams(word), grams(target)
     signs = sum(not c.isalpha() and c not in "-'’" for c in word)
-    odd = bool(_MIX.search(word))
-    return [9 if k is None else k, len(a & b) / len(a | b), math.log(m + 1), math.log(n + 1), math.log((m + 1) / (n + 1)), len(word), len(word) - len(target), signs, odd, word[:1] == target[:1]]
+    mixed = bool(_MIX.search(word))
+    return [9 if k is None else k, len(a & b) / len(a | b), math.log(m + 1), math.log(n + 1), math.log((m + 1) / (n + 1)), len(word), len(word) - len(target), signs, mixed, word[:1] == target[:1], odd]
 
 
 def misread(word: str, rng: random.Random, times: int = 1) -> str:
@@ -132,8 +191,8 @@ def misread(word: str, rng: random.Random, times: int = 1) -> str:
     return word
 
 
-def train_chooser(frequent: list[tuple[str, int]]) -> Boosted:
-    """frequent: a bounded sample of (word, count). Misread words with their origin against near words and legitimate neighbours."""
+def train_chooser(frequent: list[tuple[str, int]], codes: list[tuple[str, int]] = (), short: list[tuple[str, int]] = ()) -> Boosted:
+    """frequent: a bounded sample of (word, count); codes: one of words with digits that are right; short: one of words under four letters. Misread words with their origin, seen and unseen, against near words and legitimate neighbours."""
     rng = random.Random(7)
     by_gram = collections.defaultdict(set)
     count = dict(frequent)
@@ -146,27 +205,43 @@ def train_chooser(frequent: list[tuple[str, int]]) -> Boosted:
         return [v for v, _ in c.most_common(most)]
 
     x, y = [], []
+
+    def add(label: int, *pair) -> None:
+        x.append(pair_features(*pair))
+        y.append(label)
+
     for w, m in frequent:
         bad = misread(w, rng, 1 + (rng.random() < 0.25))
         if bad == w or bad in count:
             continue
         n = 1 + int(rng.random() * max(1, m // 50 if rng.random() < 0.8 else m // 2))  # some are repeated in like texts
-        x.append(pair_features(bad, n, w, m))
-        y.append(1)
+        odd = _odd_word(bad)
+        add(1, bad, n, w, m, odd)
+        if odd and rng.random() < 0.5:
+            add(1, bad, 1, w, 0, odd)
         for v in neighbours(bad, 4):
             if v != w:
-                x.append(pair_features(bad, n, v, count[v]))
-                y.append(0)
+                add(0, bad, n, v, count[v], odd)
         near = neighbours(w, 40)
         for k, v in enumerate(near):  # words that are right as they are, often rare ones, and pairs of like count that a misreading would also make
             made = (repaired(w, v) or 9) <= 3
             if made and count[v] >= 3 * m:
                 continue  # w may be misread itself
             if k < 3 or made:
-                x.append(pair_features(w, m if made else rng.choice([1, 2, 3, m]), v, count[v]))
-                y.append(0)
+                add(0, w, m if made else rng.choice([1, 2, 3, m]), v, count[v], False)
+    small = dict(short)
+    for w, m in short:
+        bad = misread(w, rng)
+        if bad != w and bad not in small:
+            add(1, bad, 1 + int(rng.random() * (m // 300)), w, m, _odd_word(bad))
+        for v in undone(w, False):
+            if v in small and v != w and small[v] < 100 * m:  # both are words
+                add(0, w, m, v, small[v], False)
+    for w, n in codes:
+        for v in undone(w, True)[:4]:
+            add(0, w, n, v, 0, False)
     if not x or not any(y):
-        return Boosted(trees=0).fit(np.zeros((2, 10)), np.array([0, 1]))
+        return Boosted(trees=0).fit(np.zeros((2, PAIR)), np.array([0, 1]))
     return Boosted().fit(np.array(x), np.array(y))
 
 
@@ -206,18 +281,34 @@ def train_cuts(words: list[tuple[str, int]], hyphened: list[tuple[str, int]], co
     return Boosted(trees=40).fit(np.array(x), np.array(y))
 
 
-@lru_cache(maxsize=50_000)
-def _line_forms(line: str) -> tuple[str, str]:
-    return (plain(line) if len(line) < 40 else line).strip(), _line_key(line)
+def likeness(words: list[str], heads) -> float:
+    """Largest share of words in common with a heading (keys, words parted by spaces)."""
+    own = set(words)
+    best = 0.0
+    for h in heads:
+        other = h.split()
+        shared = sum(w in own for w in other)
+        if shared:
+            best = max(best, shared / (len(own) + len(other) - shared))
+    return best
 
 
-def line_features(line: str, heads: set[str], odds: dict[str, float]) -> list[float]:
-    s, key = _line_forms(line)
-    words = key.split()
-    like = max((len(set(words) & set(h.split())) / max(1, len(set(words) | set(h.split()))) for h in heads), default=0.0)
+def line_features(line: str, heads, odds: dict[str, float]) -> list[float]:
+    s = plain(line).strip()
+    words = _line_key(line).split()
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
-    return [like, sum(odds.get(w, 0.0) for w in words) / max(1, len(words)), len(s), len(words), digits, letters, bool(_PAGE.match(s)), s[-1:] in ".!?؟", s.isupper(), sum(not c.isalnum() and not c.isspace() for c in s)]
+    return [likeness(words, heads), sum(odds.get(w, 0.0) for w in words) / max(1, len(words)), len(s), len(words), digits, letters, bool(_PAGE.match(s)), s[-1:] in ".!?؟", s.isupper(), sum(not c.isalnum() and not c.isspace() for c in s)]
+
+
+def may_be_furniture(line: str, heads, odds: dict[str, float]) -> bool:
+    """Whether any kind of furniture can be predicted: like a heading, of heading words, or no words but those of a page number."""
+    words = _line_key(line).split()
+    if not words:
+        return False
+    if sum(not w.isdigit() for w in words) <= 2 and any(w[-1].isdigit() or w[0].isdigit() for w in words):
+        return True
+    return sum(odds.get(w, 0.0) for w in words) > len(words) or likeness(words, heads) >= 0.5
 
 
 def train_lines(sample: pd.DataFrame) -> tuple[dict[str, float], dict[str, Boosted]]:
@@ -240,34 +331,46 @@ def train_lines(sample: pd.DataFrame) -> tuple[dict[str, float], dict[str, Boost
     return odds, models
 
 
-WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("copies", T.LongType())])
-USES = T.StructType([T.StructField("src", T.StringType()), T.StructField("row_key", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
+WORDS = T.StructType([T.StructField("word", T.StringType()), T.StructField("n", T.LongType()), T.StructField("copies", T.LongType()), T.StructField("odd", T.LongType())])
+USES = T.StructType([T.StructField("src", T.StringType()), T.StructField("row_key", T.LongType()), T.StructField("kind", T.StringType()), T.StructField("line", T.IntegerType()), T.StructField("a", T.StringType()), T.StructField("b", T.StringType()), T.StructField("before", T.IntegerType()), T.StructField("after", T.IntegerType())])
+SCORED = T.StructType([T.StructField("word", T.StringType()), T.StructField("target", T.StringType()), T.StructField("m", T.LongType()), T.StructField("p", T.DoubleType())])
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """word, n (over distinct texts), copies (over all texts)."""
+    """word, n (over distinct texts), copies (over all texts), odd (uses with a sign among small letters)."""
 
     def count(batches):
         for b in batches:
             seen: collections.Counter = collections.Counter()
             every: collections.Counter = collections.Counter()
             for t, copies in zip(b["text"], b["copies"]):
-                for w in tokens_of(t)[0]:
-                    if len(w) <= 64:
-                        seen[w] += 1
-                        every[w] += copies
-            yield pd.DataFrame([(w, n, every[w]) for w, n in seen.items()], columns=WORDS.names)
+                raw = tokens_of(t)[0]
+                seen.update(raw)
+                if copies > 1:
+                    for w in raw:
+                        every[w] += copies - 1
+            forms: dict[str, list[int]] = {}
+            for w, n in seen.items():
+                if f := word_form(w):
+                    c = forms.setdefault(f, [0, 0, 0])
+                    c[0] += n
+                    c[1] += n + every[w]
+                    c[2] += n * _odd_word(w)
+            yield pd.DataFrame([(w, *c) for w, c in forms.items()], columns=WORDS.names)
 
     distinct = texts.filter("text is not null and text != ''").groupBy("text").agg(F.count("*").alias("copies"))
-    return distinct.mapInPandas(count, WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"))
+    return distinct.mapInPandas(count, WORDS).groupBy("word").agg(F.sum("n").alias("n"), F.sum("copies").alias("copies"), F.sum("odd").alias("odd"))
 
 
-def find_misread(counts: DataFrame) -> DataFrame:
-    """word, replacement, p: distinct words of the corpus that are misread forms of more frequent ones."""
-    sample = counts.filter((F.col("n") >= 2 * FREQUENT) & (F.length("word") >= SHORTEST) & F.col("word").rlike(r"^\p{L}+$")).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
-    model = train_chooser([(r["word"], r["n"]) for r in sample])
-    long = counts.filter((F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}"))
-    frequent = long.filter((F.col("copies") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\-'’\x{200c}]+$"))
+def _sampled(df: DataFrame, most: int) -> list:
+    return df.orderBy(F.xxhash64("word"), "word").limit(most).collect()
+
+
+def candidate_pairs(counts: DataFrame) -> DataFrame:
+    """word, n, odd, target, m: for every distinct word the frequent words that share one of its rarest trigrams, and the words that undoing its misreadings gives (m is 0 where the corpus does not hold one; only odd words keep those)."""
+    lettered = counts.filter((F.length("word") >= SHORTEST) & F.col("word").rlike(r"\p{L}"))
+    frequent = lettered.filter((F.col("copies") >= FREQUENT) & F.col("word").rlike(r"^[\p{L}\-'’\x{200c}]+$"))
+    long = lettered.filter(F.length("word") >= 4)
 
     def with_grams(df: DataFrame, name: str) -> DataFrame:
         p = F.concat(F.lit("^"), F.col(name), F.lit("$"))
@@ -275,32 +378,48 @@ def find_misread(counts: DataFrame) -> DataFrame:
 
     index = with_grams(frequent.select(F.col("word").alias("target"), F.col("n").alias("m")), "target").withColumn("size", F.length("target"))
     df = index.groupBy("gram").agg(F.count("*").alias("df"))
-    looked = with_grams(long.select("word", "n"), "word").join(df, "gram")
-    rarest = looked.groupBy("word", "n").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RAREST_GRAMS).alias("g")).withColumn("g", F.explode("g")).select("word", "n", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.length("word") - MOST_MISREAD * ADDED, F.length("word"))).alias("size"))
-    pairs = rarest.join(index, ["gram", "size"]).filter((F.col("target") != F.col("word")) & (F.levenshtein("word", "target", 2 * MOST_MISREAD) >= 0)).select("word", "n", "target", "m").distinct()
+    looked = with_grams(long.select("word", "n", "odd"), "word").join(df, "gram")
+    rarest = looked.groupBy("word", "n", "odd").agg(F.slice(F.array_sort(F.collect_list(F.struct("df", "gram"))), 1, RAREST_GRAMS).alias("g")).withColumn("g", F.explode("g")).select("word", "n", "odd", F.col("g.gram").alias("gram"), F.explode(F.sequence(F.length("word") - MOST_MISREAD * ADDED, F.length("word"))).alias("size"))
+    near = rarest.join(index, ["gram", "size"]).filter((F.col("target") != F.col("word")) & (F.levenshtein("word", "target", 2 * MOST_MISREAD) >= 0)).select("word", "n", "odd", "target", "m")
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def origins(word: pd.Series, odd: pd.Series) -> pd.Series:
+        return pd.Series([undone(w, bool(o)) for w, o in zip(word, odd)])
+
+    back = lettered.filter((F.col("odd") > 0) | (F.length("word") <= SHORT)).select("word", "n", "odd", F.explode(origins("word", "odd")).alias("target"))
+    back = back.join(counts.select(F.col("word").alias("target"), F.col("n").alias("m"), "copies"), "target", "left").filter((F.col("odd") > 0) | (F.col("copies") >= FREQUENT))
+    return near.unionByName(back.select("word", "n", "odd", "target", F.coalesce("m", F.lit(0)).alias("m"))).distinct()
+
+
+def find_misread(counts: DataFrame) -> DataFrame:
+    """word, replacement, p: distinct words of the corpus that are misread forms of others."""
+    usual = counts.filter((F.col("n") >= 2 * FREQUENT) & F.col("word").rlike(r"^\p{L}+$"))
+    sample, short = _sampled(usual.filter("length(word) >= 4"), TRAIN_WORDS), _sampled(usual.filter(f"length(word) between {SHORTEST} and 3"), TRAIN_WORDS // 2)
+    codes = _sampled(counts.filter((F.col("odd") == 0) & F.col("word").rlike(r"\p{L}") & F.col("word").rlike(r"\p{N}")), TRAIN_WORDS // 4)
+    model = train_chooser(*[[(r["word"], r["n"]) for r in rows] for rows in (sample, codes, short)])
 
     def score(batches):
         for b in batches:
-            keep = [i for i, (w, t) in enumerate(zip(b["word"], b["target"])) if (repaired(w, t) or 9) <= 3]
-            b = b.iloc[keep]
-            x = [pair_features(w, n, t, m) for w, n, t, m in zip(b["word"], b["n"], b["target"], b["m"])]
-            yield pd.DataFrame({"word": b["word"], "target": b["target"], "m": b["m"], "p": model.predict(np.array(x).reshape(len(x), 10)) if x else []})
+            b = b.iloc[[i for i, (w, t) in enumerate(zip(b["word"], b["target"])) if (repaired(w, t) or 9) <= MOST_MISREAD]]
+            x = [pair_features(w, n, t, m, o > 0) for w, n, t, m, o in zip(b["word"], b["n"], b["target"], b["m"], b["odd"])]
+            yield pd.DataFrame({"word": b["word"], "target": b["target"], "m": b["m"], "p": model.predict(np.array(x).reshape(len(x), PAIR)) if x else []})
 
-    scored = pairs.mapInPandas(score, T.StructType([T.StructField("word", T.StringType()), T.StructField("target", T.StringType()), T.StructField("m", T.LongType()), T.StructField("p", T.DoubleType())]))
+    scored = candidate_pairs(counts).mapInPandas(score, SCORED)
     return scored.groupBy("word").agg(F.max_by(F.struct("target", "p"), F.struct("p", "m", "target")).alias("b")).filter(F.col("b.p") >= LEAST_P).select("word", F.col("b.target").alias("replacement"), F.col("b.p").alias("p"))
 
 
-def find_noise(texts: DataFrame, regions: DataFrame) -> DataFrame:
-    """src, row_key, noise (hyphen, char, header, page_number), distinct.
+def find_edits(texts: DataFrame, regions: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """src, row_key, noise, line, a, b: what is wrong with each text. noise is hyphen (in line ``line`` the word a is cut and goes on with b), char (the word a stands for b), header or page_number (line ``line`` is one).
 
-    texts: src, row_key, doc_id, text; regions: doc_id, region_type, text, from which headings and furniture
-    are learned. Null and empty texts give no row; very long texts are read whole; repeated rows give one;
-    with an empty corpus nothing is noise.
+    texts: src, row_key, doc_id, text; regions: doc_id, region_type, text, from which headings and furniture are
+    learned; corpus: text, in which words are counted, by default all texts and regions (where it is given, it should
+    hold every word of texts: one that it lacks is never misread). Null and empty texts give no row; very long texts are read whole; repeated rows give repeated
+    edits; with an empty corpus nothing is noise.
     """
     filled = texts.select("src", "row_key", "doc_id", "text").filter("text is not null and text != ''")
-    blocks = regions.filter("region_type = 'text_block' and text is not null")
-    counts = cut_lineage(word_counts(blocks))
+    counts = cut_lineage(word_counts(filled.select("text").unionByName(regions.select("text")) if corpus is None else corpus))
     bad = cut_lineage(find_misread(counts))
+    wrong = sieve(bad, F.crc32(F.encode("word", "utf-8")))
     heads = cut_lineage(heading_keys(regions.filter("region_type = 'header'").select("doc_id", "text")))
     spark = texts.sparkSession
 
@@ -308,8 +427,8 @@ def find_noise(texts: DataFrame, regions: DataFrame) -> DataFrame:
     parts = [kinds.filter(F.col("kind") == k).orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(TRAIN_LINES // 2) for k in ("header", "footer", "text")]
     sample = parts[0].unionByName(parts[1]).unionByName(parts[2]).join(heads, "doc_id", "left").select("kind", "text", F.col("headers").alias("heads")).toPandas().sort_values(["kind", "text"])
     odds, lines = train_lines(sample)
-    hyph = counts.filter(F.col("word").rlike(r"^\p{L}+-\p{L}{2,}$") & (F.col("n") >= 2)).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
-    plainw = counts.filter((F.col("n") >= 2 * FREQUENT) & F.col("word").rlike(r"^\p{L}{5,}$")).orderBy(F.xxhash64("word"), "word").limit(TRAIN_WORDS).collect()
+    hyph = _sampled(counts.filter(F.col("word").rlike(r"^\p{L}+-\p{L}{2,}$") & (F.col("n") >= 2)), TRAIN_WORDS)
+    plainw = _sampled(counts.filter((F.col("n") >= 2 * FREQUENT) & F.col("word").rlike(r"^\p{L}{5,}$")), TRAIN_WORDS)
     bits = {b for r in hyph for b in r["word"].split("-")}
     # the parts of the sampled words (their number is bounded by the samples), to know which are words of their own
     bits |= {part for a, b, _, _ in broken([r["word"] for r in plainw]) for part in (a, b)}
@@ -317,62 +436,136 @@ def find_noise(texts: DataFrame, regions: DataFrame) -> DataFrame:
     known = {r["word"]: r["n"] for r in counts.join(F.broadcast(parts_), "word").collect()}
     cutter = train_cuts([(r["word"], r["n"]) for r in plainw], [(r["word"], r["n"]) for r in hyph], known)
 
-    # the commonest words that are not misread need no look-up; which they are changes the work, not the result
-    wrong = {r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).join(bad, "word", "left_semi").collect()}
-    common = frozenset(r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(COMMON).collect()) - wrong
-
     def uses(batches):
+        forms: dict[str, str] = {}
+
+        def look(raw: str) -> str:
+            """The form of a word that may be misread, else nothing."""
+            f = forms.get(raw)
+            if f is None:
+                if len(forms) > 500_000:
+                    forms.clear()
+                f = word_form(raw)
+                f = forms[raw] = f if wrong.has(zlib.crc32(f.encode()) % BITS) else ""
+            return f
+
         for b in batches:
             out, rows, place = [], [], []
             for src, key, heads_, text in zip(b["src"], b["row_key"], b["headers"], b["text"]):
-                hs = set(heads_) if heads_ is not None else set()
+                hs = frozenset(heads_) if heads_ is not None else frozenset()
                 words, cuts = tokens_of(text, hs)
-                for w in set(words):
-                    if w not in common and len(w) >= SHORTEST and len(w) <= 64 and any(c.isalpha() for c in w):
-                        out.append((src, key, "word", w, "", 0, 0))
-                if "|" in text or "+" in text or not text.isalpha():
-                    for w in _WORD.findall(text):
-                        if _odd_word(w):
-                            out.append((src, key, "odd", "", "", 0, 0))
-                            break
-                for left, right, before, after in set(cuts):
-                    out.append((src, key, "cut", left, right, before, after))
-                for t in text.split("\n"):
-                    if t.strip() and len(t) < 200:
-                        place.append((src, key))
+                out += [(src, key, "word", 0, f, "", 0, 0) for f in set(map(look, set(words))) if f]
+                out += [(src, key, "cut", k, left, right, before, after) for k, _, left, right, before, after in cuts]
+                for k, t in enumerate(text.split("\n")):
+                    if may_be_furniture(t, hs, odds):
+                        place.append((src, key, k))
                         rows.append(line_features(t, hs, odds))
             if rows:
                 x = np.array(rows)
                 for name, model in lines.items():
-                    p = model.predict(x)
-                    ok = (p >= LEAST_P) & ((x[:, 6] > 0) if name == "page_number" else (x[:, 0] >= 0.5) | (x[:, 1] > 1.0))
-                    out += [(src, key, name, "", "", 0, 0) for src, key in {place[k] for k in np.nonzero(ok)[0]}]
+                    ok = (x[:, 6] > 0) if name == "page_number" else (x[:, 0] >= 0.5) | (x[:, 1] > 1.0)
+                    at = np.nonzero(ok)[0]
+                    at = at[model.predict(x[at]) >= LEAST_P]
+                    out += [(src, key, name, k, "", "", 0, 0) for src, key, k in (place[i] for i in at)]
             yield pd.DataFrame(out, columns=USES.names)
 
     used = cut_lineage(filled.join(heads, "doc_id", "left").mapInPandas(uses, USES))
-    rare = counts.filter(F.col("word").rlike(r"\p{L}")).join(bad.select("word"), "word", "left_semi").select("word")
-    chars = used.filter("kind = 'word'").join(rare.withColumnRenamed("word", "a"), "a", "left_semi").unionByName(used.filter("kind = 'odd'")).select("src", "row_key", F.lit("char").alias("noise"))
-    cuts = used.filter("kind = 'cut'").select("src", "row_key", "a", "b", "before", "after")
-    c = counts.select("word", "n")
-    for name, key in (("joined", F.concat("a", "b")), ("hyphened", F.concat_ws("-", "a", "b")), ("ln", F.col("a")), ("rn", F.col("b"))):
-        cuts = cuts.withColumn("key", key).join(c.select(F.col("word").alias("key"), F.col("n").alias(name)), "key", "left").drop("key")
+    chars = used.filter("kind = 'word'").join(bad.select(F.col("word").alias("a"), F.col("replacement").alias("to")), "a").select("src", "row_key", F.lit("char").alias("noise"), "line", "a", F.col("to").alias("b"))
+
+    # each distinct cut is looked up and judged once
+    keys = {"joined": F.concat("a", "b"), "hyphened": F.concat_ws("-", "a", "b"), "ln": F.col("a"), "rn": F.col("b")}
+    cuts = used.filter("kind = 'cut'").select("a", "b", "before", "after").distinct().withColumn("k", F.explode(F.array(*[F.struct(F.lit(n).alias("name"), k.alias("word")) for n, k in keys.items()])))
+    cuts = cuts.select("a", "b", "before", "after", "k.name", "k.word").join(counts.select("word", "n"), "word", "left").groupBy("a", "b", "before", "after").agg(*[F.coalesce(F.max(F.when(F.col("name") == n, F.col("n"))), F.lit(0)).alias(n) for n in keys])
 
     def decide(batches):
         for b in batches:
-            b = b.fillna({"joined": 0, "hyphened": 0, "ln": 0, "rn": 0})
-            x = [cut_features(int(r.joined), int(r.hyphened), int(r.ln), int(r.rn), r.before, r.after, len(r.a) + len(r.b)) for r in b.itertuples()]
+            x = [cut_features(r.joined, r.hyphened, r.ln, r.rn, r.before, r.after, len(r.a) + len(r.b)) for r in b.itertuples()]
             p = cutter.predict(np.array(x).reshape(len(x), 8)) if x else np.zeros(0)
-            got = b[p >= LEAST_P]
-            yield pd.DataFrame({"src": got["src"], "row_key": got["row_key"], "noise": "hyphen"})
+            yield b[p >= LEAST_P][["a", "b", "before", "after"]]
+
+    real = cuts.mapInPandas(decide, "a string, b string, before int, after int")
+    hyphens = used.filter("kind = 'cut'").join(real, ["a", "b", "before", "after"]).select("src", "row_key", F.lit("hyphen").alias("noise"), "line", "a", "b")
+    furniture = used.filter("kind in ('header', 'page_number')").select("src", "row_key", F.col("kind").alias("noise"), "line", "a", "b")
+    return chars.unionByName(hyphens).unionByName(furniture)
+
+
+def _like_case(raw: str, form: str) -> str:
+    return form.upper() if raw.isupper() and len(raw) > 1 else form.capitalize() if raw[:1].isupper() else form
+
+
+def mend(text: str, edits) -> str:
+    """The text in continuous paragraphs: furniture lines left out, cut words joined, misread words replaced, the lines of a paragraph (to the next blank line, section heading or row of a table) joined by spaces."""
+    words = {e["a"]: e["b"] for e in edits if e["noise"] == "char"}
+    gone = {e["line"] for e in edits if e["noise"] in ("header", "page_number")}
+    joins = {e["line"] for e in edits if e["noise"] == "hyphen"}
+
+    def fixed(line: str) -> str:
+        def one(m: re.Match) -> str:
+            raw = m[0]
+            to = words.get(word_form(raw))
+            if to is None:
+                return raw
+            core = raw.strip("-'*·")
+            at = raw.find(core)
+            return raw[:at] + _like_case(core, to) + raw[at + len(core) :]
+
+        return _WORD.sub(one, line) if words else line
+
+    paragraphs: list[list[str]] = []
+    fresh, open_cut = True, False
+    for k, line in enumerate(text.split("\n")):
+        s = line.strip()
+        if k in gone:
+            continue
+        if not s:
+            fresh = fresh or not open_cut
+            continue
+        if fresh or ((_HEADING.match(s) or "|" in s) and not open_cut):
+            paragraphs.append([])
+        fresh = bool(_HEADING.match(s) or "|" in s)
+        s = fixed(s)
+        if paragraphs[-1] and (open_cut or re.search(rf"\w[{re.escape(hyphen_like())}]$", paragraphs[-1][-1])):  # a hyphen of the word's own stays
+            paragraphs[-1][-1] += s
+        else:
+            paragraphs[-1].append(s)
+        open_cut = k in joins
+        if open_cut:
+            paragraphs[-1][-1] = re.sub(rf"\s*[{re.escape(hyphen_like())}][\s{INVISIBLE}]*$", "", paragraphs[-1][-1])
+    return "\n\n".join(" ".join(p) for p in paragraphs if p)
 
-    noise = T.StructType([T.StructField("src", T.StringType()), T.StructField("row_key", T.LongType()), T.StructField("noise", T.StringType())])
-    hyphens = cuts.mapInPandas(decide, noise)
-    furniture = used.filter("kind in ('header', 'page_number')").select("src", "row_key", F.col("kind").alias("noise"))
-    return chars.unionByName(hyphens).unionByName(furniture).distinct()
+
+EDIT = "array<struct<noise:string,line:int,a:string,b:string>>"
+
+
+def repair_texts(texts: DataFrame, regions: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """The rows of texts (src, row_key, doc_id, text and any other column) with ``edits`` and ``repaired``.
+
+    Rows are told apart by src and row_key; repeated ones get the same result. Null texts stay null and empty
+    ones empty, with no edits; very long texts are repaired whole; columns named edits or repaired are replaced.
+    """
+    edits = find_edits(texts.select("src", "row_key", "doc_id", "text").dropDuplicates(["src", "row_key"]), regions, corpus).distinct()
+    per = edits.groupBy("src", "row_key").agg(F.array_sort(F.collect_list(F.struct("noise", "line", "a", "b"))).alias("edits"))
+    joined = texts.drop("edits", "repaired").join(per, ["src", "row_key"], "left").withColumn("edits", F.coalesce("edits", F.expr(f"cast(array() as {EDIT})")))
+
+    def apply(batches):
+        for b in batches:
+            yield b.assign(repaired=[mend(t, e) if t else t for t, e in zip(b["text"], b["edits"])])
+
+    return joined.mapInPandas(apply, T.StructType([*joined.schema.fields, T.StructField("repaired", T.StringType())]))
+
+
+def p6_texts(spark, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    regions = once(table(spark, sf_dir, "regions").select("region_key", "doc_id", "region_type", "text").filter("text is not null and text != ''"), "region_key")
+    results = table(spark, sf_dir, "results").select(F.lit("results").alias("src"), F.col("result_id").alias("row_key"), "doc_id", F.col("full_text_combined").alias("text"))
+    blocks = regions.filter("region_type = 'text_block'").select(F.lit("regions").alias("src"), F.col("region_key").alias("row_key"), "doc_id", "text")
+    return blocks.unionByName(results), regions
 
 
 def p6_found(spark, sf_dir: str) -> DataFrame:
-    regions = once(table(spark, sf_dir, "regions").select("region_key", "doc_id", "region_type", "text"), "region_key")
-    results = once(table(spark, sf_dir, "results").select(F.lit("results").alias("src"), F.col("result_id").alias("row_key"), "doc_id", F.col("full_text_combined").alias("text")), "row_key")
-    texts = regions.filter("region_type = 'text_block'").select(F.lit("regions").alias("src"), F.col("region_key").alias("row_key"), "doc_id", "text").unionByName(results)
-    return find_noise(texts, regions)
+    texts, regions = p6_texts(spark, sf_dir)
+    return find_edits(texts, regions, regions).select("src", "row_key", "noise").distinct()  # the combined texts are made of the regions' ones
+
+
+def p6_repaired(spark, sf_dir: str) -> DataFrame:
+    texts, regions = p6_texts(spark, sf_dir)
+    return repair_texts(once(texts, "src", "row_key"), regions, regions).select("src", "row_key", "repaired")

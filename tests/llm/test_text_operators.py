@@ -104,9 +104,18 @@ def test_bitext(spark):
 
 def test_scan_noise_parts():
     words, cuts = scannoise.tokens_of("The medi- \n3/4\ncine is long-term.\n- 2 -\nα-\nchain")
-    assert ("medi", "cine", 0, 1) in cuts and "long-term" in words and "medi" not in words
+    assert (0, 2, "medi", "cine", 0, 1) in cuts and "long-term" in words and "medi" not in words and "cine" not in words
+    assert scannoise.tokens_of("a medi－\ncine")[1] == [(0, 1, "medi", "cine", 0, 0)]
     assert scannoise.repaired("u5ually", "usually") == 1 and scannoise.repaired("openecl", "opened") == 1 and scannoise.repaired("abc", "xyz") is None
     assert scannoise._odd_word("diabe+es") and not scannoise._odd_word("CYP3A4") and not scannoise._odd_word("T73160") and not scannoise._odd_word("B12")
+    assert "diabetes" in scannoise.undone("diabe+es", True) and "the" in scannoise.undone("tbe", False)
+
+
+def test_mend():
+    text = "1. Use\nTake the medi- \nZolo 5 mg\ncine with u5ual\n- 2 -\nfood.\n\nThe α-\nchain of it."
+    edits = [{"noise": "hyphen", "line": 1, "a": "medi", "b": "cine"}, {"noise": "header", "line": 2, "a": "", "b": ""}, {"noise": "char", "line": 0, "a": "u5ual", "b": "usual"}, {"noise": "page_number", "line": 4, "a": "", "b": ""}]
+    assert scannoise.mend(text, edits) == "1. Use\n\nTake the medicine with usual food.\n\nThe α-chain of it."
+    assert scannoise.mend("", []) == ""
 
 
 def test_scan_noise(spark):
@@ -115,12 +124,27 @@ def test_scan_noise(spark):
     reg = [(f"d{k % 30}", "text_block", " ".join(rng.choice(base) for _ in range(12)) + ".") for k in range(150)]
     reg += [(f"d{k}", "header", "Zoloprix 5 mg syrup, package leaflet") for k in range(30)] + [(f"d{k}", "footer", t) for k in range(30) for t in (f"- {k} -", f"Page {k} of 40")]
     texts = [("r", 1, "d1", "the medi-\ncine is here."), ("r", 2, "d1", "it is u5ually so."), ("r", 3, "d1", "words\nZoloprix 5 mg syrup, package leaflet\nmore words here."), ("r", 4, "d1", "words\n- 3 -\nmore words."), ("r", 5, "d1", "a follow-\nup with the doctor."), ("r", 6, "d1", None), ("r", 7, "d1", ""), ("r", 8, "d1", "B12 and CYP3A4 for the patient."), ("r", 1, "d1", "the medi-\ncine is here.")]
-    got = {(r["row_key"], r["noise"]) for r in scannoise.find_noise(spark.createDataFrame(texts, "src string, row_key bigint, doc_id string, text string"), spark.createDataFrame(reg, "doc_id string, region_type string, text string")).collect()}
+    got = {(r["row_key"], r["noise"]) for r in scannoise.find_edits(spark.createDataFrame(texts, "src string, row_key bigint, doc_id string, text string"), spark.createDataFrame(reg, "doc_id string, region_type string, text string")).collect()}
     assert {(1, "hyphen"), (2, "char"), (3, "header"), (4, "page_number")} <= got and not {k for k, _ in got} & {5, 6, 7, 8}
+    df = spark.createDataFrame([(*r, "x") for r in texts], "src string, row_key bigint, doc_id string, text string, repaired string")
+    fixed = {r["row_key"]: r["repaired"] for r in scannoise.repair_texts(df, spark.createDataFrame(reg, "doc_id string, region_type string, text string")).collect()}
+    assert fixed[1] == "the medicine is here." and fixed[2] == "it is usually so." and fixed[3] == "words more words here." and fixed[4] == "words more words." and fixed[5] == "a follow-up with the doctor." and fixed[6] is None and fixed[7] == ""
+    assert scannoise.find_edits(df.limit(0), spark.createDataFrame(reg, "doc_id string, region_type string, text string").limit(0)).count() == 0
 
 
 def word_table(spark, rows):
-    return spark.createDataFrame([(w, n, n) for w, n in rows], "word string, n bigint, copies bigint")
+    return spark.createDataFrame([(w, n, n, int(scannoise._odd_word(w))) for w, n in rows], "word string, n bigint, copies bigint, odd bigint")
+
+
+def test_recall_of_candidates(spark):
+    """Of words misread up to three times, the right word is among the candidates."""
+    rng = random.Random(9)
+    syllables = ["me", "di", "ta", "ral", "on", "ste", "ni", "cor", "bu", "lin", "hea", "ter", "mo", "gra"]
+    words = sorted({"".join(rng.choice(syllables) for _ in range(rng.randint(2, 5))) for _ in range(600)})
+    made = {scannoise.misread(w, rng, 1 + k % 3): w for k, w in enumerate(words)}
+    bad = {b: w for b, w in made.items() if b not in words and len(b) >= 4}
+    pairs = {(r["word"], r["target"]) for r in scannoise.candidate_pairs(word_table(spark, [(w, 40) for w in words] + [(b, 1) for b in bad])).collect()}
+    assert sum((b, w) in pairs for b, w in bad.items()) >= 0.95 * len(bad)
 
 
 USUAL = [(w, 60 + k) for k, w in enumerate("usually medicine doctor hospital patient headache morning evening children tablets combination amount section before number".split())]
