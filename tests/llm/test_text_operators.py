@@ -213,6 +213,34 @@ def test_leakage(spark):
     assert leakage.leaked_items(d, it.limit(0)).count() == 0 and leakage.leaked_items(d.limit(0), it).count() == 0
 
 
+def test_leakage_limits(spark):
+    """Many items, copies just under and at the least length, and noisy ones near it; extra columns are ignored."""
+    rng = random.Random(8)
+    vocab = [f"v{k}q" for k in range(4000)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items = [some(rng.randint(40, 80)) for _ in range(2000)]
+    docs, want = [], set()
+    for k in range(150):
+        item = rng.randrange(len(items))
+        n = (22, 23, 24, 25, 26, 30)[k % 6]
+        docs.append((k, some(rng.randint(0, 900)) + items[item][5 : 5 + n] + some(rng.randint(0, 200))))
+        if n >= 25:
+            want.add((k, item))
+    noisy = set()
+    for k in range(200, 350):
+        item = rng.randrange(len(items))
+        words = items[item][3 : 3 + rng.randint(30, 37)]
+        for at in sorted(rng.sample(range(2, len(words) - 2), 3), reverse=True):
+            words[at : at + 1] = rng.choice([[], [rng.choice(vocab)], [words[at], rng.choice(vocab)]])
+        docs.append((k, some(rng.randint(0, 300)) + words + some(rng.randint(0, 100))))
+        noisy.add((k, item))
+    d = spark.createDataFrame([(k, " ".join(w), "x", k) for k, w in docs], "doc_id bigint, text string, words string, item_id int")
+    it = spark.createDataFrame([(k, " ".join(w), 1) for k, w in enumerate(items)], "item_id bigint, text string, doc_id int")
+    got = {(r["doc_id"], r["item_id"]) for r in leakage.leaked_items(d, it).collect()}
+    assert {p for p in got if p[0] < 200} == want
+    assert len(noisy & got) >= 0.97 * len(noisy) and not {p for p in got if p[0] >= 200} - noisy
+
+
 def test_boost():
     rng = np.random.default_rng(0)
     x = rng.random((2000, 4))
