@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliora.llm.boost import Boosted
-from foliora.llm.langid import _HEADING, _PAGE, _line_key, heading_keys
+from foliora.llm.langid import _HEADING, _PAGE, _key_word, _line_key, heading_keys
 from foliora.llm.lookalikes import INVISIBLE, look_alikes, plain
 from foliora.llm.sieve import BITS, sieve
 from foliora.session import cut_lineage
@@ -281,48 +281,58 @@ def train_cuts(words: list[tuple[str, int]], hyphened: list[tuple[str, int]], co
     return Boosted(trees=40).fit(np.array(x), np.array(y))
 
 
-def likeness(words: list[str], heads) -> float:
+@lru_cache(maxsize=300_000)
+def _key_words(raw: str) -> tuple[str, ...]:
+    return tuple(_key_word(raw).split())
+
+
+def key_words(line: str) -> list[str]:
+    """The words of a line in their form for comparison."""
+    return [w for raw in line.split() for w in _key_words(raw)]
+
+
+@lru_cache(maxsize=20_000)
+def heading_sets(heads: frozenset[str]) -> tuple[frozenset[str], ...]:
+    return tuple(frozenset(h.split()) for h in sorted(heads))
+
+
+def likeness(words: list[str], heads: frozenset[str]) -> float:
     """Largest share of words in common with a heading (keys, words parted by spaces)."""
     own = set(words)
-    best = 0.0
-    for h in heads:
-        other = h.split()
-        shared = sum(w in own for w in other)
-        if shared:
-            best = max(best, shared / (len(own) + len(other) - shared))
-    return best
+    return max((n / (len(own) + len(h) - n) for h in heading_sets(heads) if (n := len(own & h))), default=0.0)
 
 
-def line_features(line: str, heads, odds: dict[str, float]) -> list[float]:
+def line_features(line: str, heads: frozenset[str], odds: dict[str, float]) -> list[float]:
     s = plain(line).strip()
-    words = _line_key(line).split()
+    words = key_words(line)
     digits = sum(c.isdigit() for c in s)
     letters = sum(c.isalpha() for c in s)
     return [likeness(words, heads), sum(odds.get(w, 0.0) for w in words) / max(1, len(words)), len(s), len(words), digits, letters, bool(_PAGE.match(s)), s[-1:] in ".!?؟", s.isupper(), sum(not c.isalnum() and not c.isspace() for c in s)]
 
 
-def may_be_furniture(line: str, heads, odds: dict[str, float]) -> bool:
-    """Whether any kind of furniture can be predicted: like a heading, of heading words, or no words but those of a page number."""
-    words = _line_key(line).split()
+def may_be_furniture(line: str, heads: frozenset[str], odds: dict[str, float]) -> bool:
+    """Whether any kind of furniture can be predicted: like a heading, of heading words, or no words but those of a page number (two, and two numbers)."""
+    words = key_words(line)
     if not words:
         return False
-    if sum(not w.isdigit() for w in words) <= 2 and any(w[-1].isdigit() or w[0].isdigit() for w in words):
+    if len(words) < 9 and sum([not w.isdigit() for w in words]) <= 2 and any([w[-1].isdigit() or w[0].isdigit() for w in words]):
         return True
-    return sum(odds.get(w, 0.0) for w in words) > len(words) or likeness(words, heads) >= 0.5
+    get = odds.get
+    return sum([get(w, 0.0) for w in words]) > len(words) or (bool(heads) and likeness(words, heads) >= 0.5)
 
 
 def train_lines(sample: pd.DataFrame) -> tuple[dict[str, float], dict[str, Boosted]]:
     """sample: kind (header, footer, text), text, heads. Log odds of words in headings, and one classifier for each kind of furniture."""
-    lines = [(k, x, set(h) if h is not None else set()) for k, t, h in zip(sample["kind"], sample["text"], sample["heads"]) for x in (t or "").split("\n") if x.strip()]
+    lines = [(k, x, frozenset(h) if h is not None else frozenset()) for k, t, h in zip(sample["kind"], sample["text"], sample["heads"]) for x in (t or "").split("\n") if x.strip()]
     inside, outside = collections.Counter(), collections.Counter()
     for k, x, _ in lines:
-        (inside if k == "header" else outside).update(set(_line_key(x).split()))
+        (inside if k == "header" else outside).update(set(key_words(x)))
     ni, no = sum(k == "header" for k, _, _ in lines) + 1, sum(k != "header" for k, _, _ in lines) + 1
     odds = {w: math.log((inside[w] + 0.5) / ni) - math.log((outside[w] + 0.5) / no) for w in inside if inside[w] + outside[w] >= 3}
     models = {}
     rng = random.Random(3)
     # for half of the rows no heading is known, as on leaflets whose headings were missed
-    x = np.array([line_features(t, h if rng.random() < 0.7 else set(), odds) for _, t, h in lines]).reshape(len(lines), 10)
+    x = np.array([line_features(t, h if rng.random() < 0.7 else frozenset(), odds) for _, t, h in lines]).reshape(len(lines), 10)
     for name, kind in (("header", "header"), ("page_number", "footer")):
         y = np.array([k == kind and (kind == "header" or any(c.isdigit() for c in t)) for k, t, _ in lines], float)
         if len(y) and 0 < y.sum() < len(y):
