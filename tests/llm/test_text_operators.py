@@ -100,6 +100,32 @@ def test_bitext(spark):
     assert not [r for r in got if r["key"] >= 90]
     assert bitext.sentences("A b. C?\nD 2.5 e.") == ["A b.", "C?", "D 2.5 e."] and bitext.sentences(None) == []
     assert bitext.align_sentences(spark.createDataFrame([], "key bigint, en string, ar string")).count() == 0
+    df = spark.createDataFrame(docs, "key bigint, en string, ar string")
+    rows = lambda d: sorted(map(tuple, d.collect()))
+    assert rows(bitext.align_sentences(df, most_entries=0)) == rows(bitext.align_sentences(df))  # the lexicon joined instead of held
+
+
+def brute_increasing(pairs):
+    best = []
+    for k, (_, j) in enumerate(pairs):
+        best.append(1 + max([best[h] for h in range(k) if pairs[h][1] < j], default=0))
+    return max(best, default=0)
+
+
+def test_increasing_chain_and_linear_work():
+    rng = random.Random(2)
+    for _ in range(100):
+        pairs = [(i, rng.randrange(12)) for i in range(rng.randint(0, 12))]
+        got = bitext.increasing(pairs)
+        assert len(got) == brute_increasing(pairs) and all(a[0] < b[0] and a[1] < b[1] for a, b in zip(got, got[1:]))
+    words = "take store drink keep dose water food bottle fever morning night child doctor ask stop use never always before after".split()
+    lex = bitext.Lexicon((w, "ع" + w, 0.8) for w in words)
+    pairs_of = []
+    for n in (400, 800):
+        own = [[rng.choice(words) for _ in range(8)] for _ in range(n)]
+        en, ar = bitext.Side(" ".join(f"{' '.join(w)} {k}." for k, w in enumerate(own))), bitext.Side(" ".join(f"{' '.join('ع' + x for x in w)} {k}." for k, w in enumerate(own)))
+        pairs_of.append(len(bitext.Scores(en, ar, lex).known))
+    assert pairs_of[1] <= 2.2 * pairs_of[0]
 
 
 def test_scan_noise_parts():
