@@ -459,17 +459,40 @@ def find_edits(texts: DataFrame, regions: DataFrame, corpus: DataFrame | None =
                 f = forms[raw] = f if wrong.has(zlib.crc32(f.encode()) % BITS) else ""
             return f
 
+        # a line of a leaflet often stands in several of its texts: each distinct one is looked at once
+        memos: dict[frozenset, dict[str, tuple]] = {}
+
+        def judge(line: str, hs: frozenset[str]) -> tuple:
+            """Words of the line that may be misread, and its features where it may be furniture."""
+            return tuple({f for f in map(look, _WORD.findall(line)) if f}), line_features(line, hs, odds) if may_be_furniture(line, hs, odds) else None
+
         for b in batches:
             out, rows, place = [], [], []
             for src, key, heads_, text in zip(b["src"], b["row_key"], b["headers"], b["text"]):
                 hs = frozenset(heads_) if heads_ is not None else frozenset()
-                words, cuts = tokens_of(text, hs)
-                out += [(src, key, "word", 0, f, "", 0, 0) for f in set(map(look, set(words))) if f]
-                out += [(src, key, "cut", k, left, right, before, after) for k, _, left, right, before, after in cuts]
-                for k, t in enumerate(text.split("\n")):
-                    if may_be_furniture(t, hs, odds):
+                memo = memos.get(hs)
+                if memo is None:
+                    if len(memos) > 500:
+                        memos.clear()
+                    memo = memos[hs] = {}
+                elif len(memo) > 100_000:
+                    memo.clear()
+                misread_: set[str] = set()
+                for k, line in enumerate(text.split("\n")):
+                    got = memo.get(line)
+                    if got is None:
+                        got = memo[line] = judge(line, hs)
+                    if got[0]:
+                        misread_.update(got[0])
+                    if got[1] is not None:
                         place.append((src, key, k))
-                        rows.append(line_features(t, hs, odds))
+                        rows.append(got[1])
+                if _line_end().search(text):
+                    words, cuts = tokens_of(text, hs)
+                    out += [(src, key, "cut", k, left, right, before, after) for k, _, left, right, before, after in cuts]
+                    if misread_ and cuts:  # the parts of cut words are no words
+                        misread_ &= set(map(look, words))
+                out += [(src, key, "word", 0, f, "", 0, 0) for f in misread_]
             if rows:
                 x = np.array(rows)
                 for name, model in lines.items():
