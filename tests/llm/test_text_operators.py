@@ -293,10 +293,41 @@ def test_privacy(spark):
     assert privacy.redactions(df.limit(0), f).count() == 0
 
 
-def test_first_words_of_names_from_all_documents(spark):
+def test_privacy_without_cues():
+    """Held-out sentences with none of the cue words: names of known words in new combinations, numbers of a known shape, and look-alikes that are no details."""
+    rng = random.Random(16)
+    first = ["Orvia", "Tovald", "Minaree", "Havelor", "Selphine", "Brennoc", "Zerlina", "Quenla"]
+    last = ["Halstow", "Quarmere", "Lorlund", "Sundren", "Pemosa", "Wickard", "Fenusk", "Talridge"]
+    docs = []
+    for k in range(900):
+        a, n = f"{rng.choice(first)} {rng.choice(last)}", rng.randint(100, 199)
+        docs += [f"The reaction was reported by {a}, reachable on 0{n % 90 + 10} 555 0{n}. Lot QQ-{n}91-71 expires 2034-07.", f"National ID: {n}01-2345-{n}7; carer {a}. Article code 1{n}-1{n}-582 is new.", f"Passport no. JM-{n}32-90, home address {n} Quenst Lane, 91333 Pedralva.", f"Please send the reply to a.b{n}@post.example before the visit. Velmor Forte and Duskan Retard share the same box.", "Keep Velmor Forte in a dry place. Doses of 500-1000-1500 mg were compared. Meet us @ the desk of ward 7, Store Below 30."]
+    f = privacy.Finder().fit(docs)
+    assert all(len(f.models[k][0].flat) and any(len(tree[0]) > 1 for tree in f.models[k][0].flat) for k in privacy.KINDS)
+    found = total = 0
+    for k in range(200):
+        a, n = f"{rng.choice(first)} {rng.choice(last)}", rng.randint(100, 199)
+        parts = [("Yesterday ", None), (a, "name"), (" visited the shop and left ", None), (f"0{n % 90 + 10} 555 0{n}", "phone"), (" behind, or ", None), (f"x.y{n}@mail.example", "email"), (" at ", None), (f"{n} Orbell Street", "address"), (". Keep Velmor Forte in it. Doses of 500-1000-1500 mg.", None)]
+        text, want, at = "", set(), 0
+        for s, kind in parts:
+            if kind:
+                want.add((kind, len(text), len(text) + len(s)))
+            text += s
+        (got,) = f.find([text])
+        got = {s[:3] for s in got}
+        found += len(want & got)
+        total += len(want)
+        assert got <= want, (text, got - want)
+    assert found >= 0.9 * total
+
+
+def test_words_of_names_from_all_documents(spark):
     cued = [f"وصل اليوم {k} تقرير عن المريضة سلوان خالدي صباحا." for k in range(3)]
     docs = spark.createDataFrame([(t,) for t in cued + ["عن المريضة نادر خالدي."] * 5 + ["a text", None]], "text string")
-    assert privacy.cued_first_words(docs) == {"سلوان"}
-    known = privacy.fitted(docs, most=0).known
-    later = "وقد زار سلوان خالدي الصيدلية"
-    assert "سلوان خالدي" in {later[a:z] for k, a, z in privacy.candidates(later, known) if k == "name"}
+    assert {(r["word"], r["place"]) for r in privacy.cued_words(docs).collect()} == {("سلوان", 1), ("خالدي", 2)}
+    finder = privacy.fitted(docs, most=0)
+    later = "وقد زار سلوان خالدي الصيدلية ثم سمير خالدي"
+    assert {"سلوان خالدي", "سمير خالدي"} <= {later[a:z] for k, a, z in privacy.candidates(later, finder.knows) if k == "name"}
+    assert finder.find([None, "", later]) == [[], [], []]
+    copies = spark.createDataFrame([("Dr. a 1234",)] * 50 + [(f"Dr. {k} 1234",) for k in range(5)], "text string")
+    assert len(privacy.training_texts(copies, 100)) == 6
