@@ -1,4 +1,4 @@
-"""Command line: process, batch and health over recorded recognition answers (a Parquet folder of regions)."""
+"""Command line: process one file, batch a folder, ask for the models' health. Text comes from a model server or from recorded regions."""
 
 from __future__ import annotations
 
@@ -8,21 +8,12 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
+from foliora.functions.text import stem_of, suffix_of
 from foliora.operators import document as D
-from foliora.operators import matching as M
-from foliora.session import build_session
+from foliora.plans.pipeline import ARABIC_MODEL, LATIN_MODEL, URL, extract, read_regions
+from foliora.session import build_session, cut_lineage
 from foliora.sources.files import BATCH, load_names, scan_files
-from foliora.functions.text import stem_of, suffix_of
-
-
-def extract(spark, regions, names, threshold: float = D.REVIEW):
-    """Results with strengths, matches, document and markdown for regions (doc_id, page, region_id, script, confidence, text)."""
-    res = D.assemble(regions, threshold).withColumn("regions_flagged_for_review", F.transform("flagged", lambda f: f["region_id"]))
-    m = M.match_all(res.select("doc_id", F.col("full_text_combined").alias("text")), names)
-    m = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "input", "matched", "score"))).alias("inn_matches"))
-    empty = F.expr("cast(array() as array<struct<pos:int,input:string,matched:string,score:double>>)")
-    res = res.join(m, "doc_id", "left").withColumn("inn_matches", F.coalesce("inn_matches", empty)).withColumn("source_file", F.col("doc_id"))
-    return D.markdown(D.export_document(res))
+from foliora.sources.recognition import health
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -30,32 +21,45 @@ def main(argv: list[str] | None = None) -> int:
     sub = p.add_subparsers(dest="command", required=True)
     for name in ("process", "batch"):
         s = sub.add_parser(name)
-        s.add_argument("--input" if name == "process" else "--input-dir", dest="input", required=True)
-        s.add_argument("--regions", required=True, help="Parquet of recorded regions")
-        s.add_argument("--output", default="output")
-        s.add_argument("--format", choices=["json", "markdown", "both"], default="both")
-        s.add_argument("--names", help="reference list")
+        s.add_argument(*(("--input", "-i") if name == "process" else ("--input-dir",)), dest="input", required=True)
+        s.add_argument("--output", "-o", default="output")
+        s.add_argument("--format", "-f", choices=["json", "markdown", "both"], default="json")
+        s.add_argument("--ollama-url", dest="url", default=URL)
         s.add_argument("--confidence", type=float, default=D.REVIEW)
-    sub.add_parser("health").add_argument("--regions", required=True)
+        s.add_argument("--names", help="reference list")
+        s.add_argument("--regions", help="Parquet of recorded regions, in place of the model server")
+        s.add_argument("--bidi", action="store_true", help="texts with Arabic in display order")
+        if name == "process":
+            s.add_argument("--dpi", type=int, default=300)
+    sub.add_parser("health").add_argument("--ollama-url", dest="url", default=URL)
     a = p.parse_args(argv)
     if a.command == "health":
-        ok = Path(a.regions).exists()
-        print("recorded answers:", "available" if ok else "missing")
-        return 0 if ok else 1
+        rows = health(build_session(), a.url, [LATIN_MODEL, ARABIC_MODEL]).collect()
+        for r in rows:
+            print(f"{r['model']}: {'available' if r['available'] else 'NOT FOUND'}")
+        return 0 if all(r["available"] for r in rows) else 1
     if not Path(a.input).exists():
         print(f"not found: {a.input}", file=sys.stderr)
         return 1
     spark = build_session()
-    regions = spark.read.parquet(a.regions)
-    if a.command == "process":
-        regions = regions.filter(F.col("doc_id") == Path(a.input).stem)
+    files = scan_files(spark, a.input)
+    if a.command == "batch":
+        files = files.filter(suffix_of(F.col("path")).isin(BATCH))
+    if not files.select("path").take(1):
+        print(f"no supported files in {a.input}", file=sys.stderr)
+        return 1
+    if a.regions:
+        names = files.select(stem_of(F.col("path")).alias("doc_id")).distinct()
+        regions = spark.read.parquet(a.regions).join(names, "doc_id", "left_semi")
     else:
-        files = scan_files(spark, a.input).filter(suffix_of(F.col("path")).isin(BATCH)).select(stem_of(F.col("path")).alias("doc_id")).distinct()
-        regions = regions.join(files, "doc_id", "left_semi")
-    # JSON is always written; Markdown where asked for
-    out = extract(spark, regions, load_names(spark, a.names), a.confidence)
+        regions = read_regions(files, a.url, getattr(a, "dpi", 300))
+    out = cut_lineage(extract(spark, regions, load_names(spark, a.names), a.confidence, a.bidi))
+    # JSON is always written, Markdown where asked for
     D.write_documents(out, a.output, "json" if a.format == "json" else "both")
-    print("documents:", out.count())
+    failed = regions.filter("error is not null").select("doc_id", "error").distinct() if "error" in regions.columns else None
+    bad = {r["doc_id"] for r in failed.toLocalIterator() if not print(f"failed: {r['doc_id']}: {r['error']}")} if failed is not None else set()
+    total = out.count()
+    print(f"done: {total - len(bad)}/{total} files processed")
     return 0
 
 

@@ -40,23 +40,52 @@ def arabic_units(text: Column) -> Column:
     return text
 
 
-def clean(text: Column) -> Column:
-    return arabic_units(normalize_numerals(text))
+def strict_arabic_units(text: Column) -> Column:
+    """Arabic unit names that stand after a number and end there, the longest first; other words stay as they are."""
+    for name, unit in sorted(ARABIC_UNITS, key=lambda u: -len(u[0])):
+        text = F.regexp_replace(text, rf"(?<=\p{{Nd}})({WHITE}*){name}(?![\p{{L}}\p{{M}}])", f"$1{unit}")
+    return text
+
+
+def clean(text: Column, strict_units: bool = False) -> Column:
+    """Digits, units and Arabic unit names; strict_units replaces those only where they are units."""
+    return (strict_arabic_units if strict_units else arabic_units)(normalize_numerals(text))
+
+
+def clean_region(text: Column, script: Column, bidi: bool = False, strict_units: bool = False) -> Column:
+    """The cleaned text of a region; with bidi in display order where its script is arabic or mixed (for display only: names and strengths are read from the logical order)."""
+    out = clean(text, strict_units)
+    if not bidi:
+        return out
+    from foliora.operators.imaging import display_order
+
+    return F.when(script.isin("arabic", "mixed"), display_order(out)).otherwise(out)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once: the variable of a lambda, unlike an expression, is not computed again where it is used in another lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def extract_strengths(text: Column) -> Column:
-    """ARRAY<STRUCT<value, unit, raw, start, end>>; offsets count characters of the normalised text."""
-    norm = normalize_numerals(text)
-    raws, values, units = (F.regexp_extract_all(norm, F.lit(STRENGTH), F.lit(k)) for k in (0, 1, 2))
-    found = F.transform(F.arrays_zip(raws.alias("raw"), values.alias("value"), units.alias("unit")), lambda m: F.struct(F.replace(m["value"], F.lit(","), F.lit(".")).alias("value"), F.lower(m["unit"]).alias("unit"), m["raw"].alias("raw")))
-    empty = F.expr("cast(array() as array<struct<value:string,unit:string,raw:string,start:int,end:int>>)")
-
-    def add(done, m):
-        at = F.when(F.size(done) == 0, F.lit(0)).otherwise(F.element_at(done, -1)["end"])
-        start = F.call_function("locate", m["raw"], norm, at + 1) - 1
-        return F.concat(done, F.array(F.struct(m["value"].alias("value"), m["unit"].alias("unit"), m["raw"].alias("raw"), start.cast("int").alias("start"), (start + F.length(m["raw"])).cast("int").alias("end"))))
-
-    return F.aggregate(found, empty, add)
+    """ARRAY<STRUCT<value, unit, raw, start, end>>; offsets count characters of the normalised text.
+
+    The text is normalised once and scanned twice, for the matches and for what stands between them; offsets are
+    running sums of lengths, so the work is linear in the text.
+    """
+
+    def one(raw, end):
+        value, unit = (F.regexp_extract(raw, STRENGTH, k) for k in (1, 2))
+        return F.struct(F.replace(value, F.lit(","), F.lit(".")).alias("value"), F.lower(unit).alias("unit"), raw.alias("raw"), (end - F.length(raw)).cast("int").alias("start"), end.cast("int").alias("end"))
+
+    def add(ends, step):
+        return F.concat(ends, F.array(F.coalesce(F.try_element_at(ends, F.lit(-1)), F.lit(0)) + step))
+
+    def placed(norm, raws):
+        steps = F.zip_with(F.slice(F.split(norm, STRENGTH, -1), F.lit(1), F.size(raws)), raws, lambda gap, raw: F.length(gap) + F.length(raw))
+        return let(F.aggregate(steps, F.expr("cast(array() as array<int>)"), add), lambda ends: F.zip_with(raws, ends, one))
+
+    return let(normalize_numerals(text), lambda norm: let(F.regexp_extract_all(norm, F.lit(STRENGTH), F.lit(0)), lambda raws: placed(norm, raws)))
 
 
 def count_of(text: Column, chars: str) -> Column:

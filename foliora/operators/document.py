@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliora.functions.text import clean, extract_strengths
+from foliora.functions.text import clean_region, extract_strengths
+from foliora.operators.matching import match_all
 
 REVIEW = 0.85
 
@@ -23,26 +24,71 @@ def split_layout(w: Column, h: Column, script: Column) -> Column:
     return F.when(s == "mixed", two).otherwise(one)
 
 
+def full_layout(w: Column, h: Column, script: Column) -> Column:
+    """One region for the whole page; ARRAY<STRUCT>."""
+    s = F.coalesce(script, F.lit("mixed"))
+    return F.array(F.struct(F.lit(1).alias("region_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), w.cast("int").alias("w"), h.alias("h"), s.alias("script"), F.when(s == "arabic", "rtl").otherwise("ltr").alias("direction")))
+
+
+def layout(w: Column, h: Column, script: Column, mode: str = "heuristic") -> Column:
+    """Regions of a page by mode: heuristic splits it, any other keeps it whole; a page without an image (null size) has none."""
+    return F.when(w.isNull() | h.isNull(), F.array()).otherwise((split_layout if mode == "heuristic" else full_layout)(w, h, script))
+
+
 def route(script: Column, has_image: Column) -> Column:
     """Recogniser for a region: latin, arabic, both, none (other scripts) or skipped (no image)."""
     known = F.when(script == "latin", "latin").when(script == "arabic", "arabic").when(script == "mixed", "both").otherwise("none")
     return F.when(~has_image & (known != "none"), "skipped").otherwise(known)
 
 
-def assemble(regions: DataFrame, threshold: float = REVIEW) -> DataFrame:
-    """One row for each doc_id: pages, the three texts in reading order, flagged regions, strengths of the combined text."""
-    df = regions.select("doc_id", "page", "region_id", "script", "confidence", F.coalesce("text", F.lit("")).alias("text")).withColumn("clean", clean(F.col("text")))
+FIELDS = "array<struct<name:string,value:string,confidence:double,needs_review:boolean>>"
+MATCHES = "array<struct<pos:int,input:string,matched:string,score:double>>"
+
+
+def assemble(regions: DataFrame, threshold: float = REVIEW, bidi: bool = False) -> DataFrame:
+    """One row for each doc_id: pages, the three texts in reading order, flagged regions, strengths of the combined text, and no fields or metadata yet.
+
+    bidi puts the three texts of regions with Arabic in display order; strengths are read from the logical order.
+    """
+    df = regions.select("doc_id", "page", "region_id", "script", "confidence", F.coalesce("text", F.lit("")).alias("text")).withColumn("clean", clean_region(F.col("text"), F.col("script")))
+    df = df.withColumn("shown", clean_region(F.col("text"), F.col("script"), bidi=True) if bidi else F.col("clean"))
     full = "text <> ''"
     order = "within group (order by page, region_id)"
     low = F.expr(f"{full} and confidence < {threshold}")
+
+    def texts(column: str, which: str = "") -> Column:
+        return F.expr(f"coalesce(listagg({column}, '\\n\\n') {order} filter (where {full}{which}), '')")
+
     out = df.groupBy("doc_id").agg(
         F.count_distinct(F.coalesce("page", F.lit(1))).cast("int").alias("pages_processed"),
-        F.expr(f"coalesce(listagg(clean, '\\n\\n') {order} filter (where {full} and coalesce(script, '') <> 'latin'), '')").alias("full_text_arabic"),
-        F.expr(f"coalesce(listagg(clean, '\\n\\n') {order} filter (where {full} and coalesce(script, '') <> 'arabic'), '')").alias("full_text_english"),
-        F.expr(f"coalesce(listagg(clean, '\\n\\n') {order} filter (where {full}), '')").alias("full_text_combined"),
+        texts("shown", " and coalesce(script, '') <> 'latin'").alias("full_text_arabic"),
+        texts("shown", " and coalesce(script, '') <> 'arabic'").alias("full_text_english"),
+        texts("shown").alias("full_text_combined"),
+        *([texts("clean").alias("logical")] if bidi else []),
         F.array_sort(F.collect_list(F.when(low, F.struct("page", "region_id")))).alias("flagged"),
     )
-    return out.withColumn("strengths", extract_strengths(F.col("full_text_combined")))
+    out = out.withColumn("strengths", extract_strengths(F.col("logical" if bidi else "full_text_combined")))
+    return out.withColumn("fields", F.expr(f"cast(array() as {FIELDS})")).withColumn("metadata", F.expr("cast(map() as map<string,string>)"))
+
+
+def with_matches(documents: DataFrame, names: DataFrame, text: str = "full_text_combined") -> DataFrame:
+    """The documents with ``inn_matches``, the valid matches of their text in the order of their tokens."""
+    if "logical" in documents.columns:
+        text = "logical"
+    m = match_all(documents.select("doc_id", F.col(text).alias("text")), names)
+    m = m.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "input", "matched", "score"))).alias("inn_matches"))
+    return documents.join(m, "doc_id", "left").withColumn("inn_matches", F.coalesce("inn_matches", F.expr(f"cast(array() as {MATCHES})")))
+
+
+def merged(base: Column, more: Column) -> Column:
+    """Two maps as one; where both have a key, the second wins."""
+    more = F.coalesce(more, F.expr("cast(map() as map<string,string>)"))
+    return F.map_concat(F.map_filter(base, lambda k, _: ~F.map_contains_key(more, k)), more)
+
+
+def _json_text(c: Column) -> Column:
+    """A string as JSON text; null as null."""
+    return F.regexp_extract(F.to_json(F.array(c), {"ignoreNullFields": "false"}), r"(?s)^\[(.*)\]$", 1)
 
 
 def export_document(results: DataFrame, ts: Column | None = None) -> DataFrame:
@@ -55,13 +101,22 @@ def export_document(results: DataFrame, ts: Column | None = None) -> DataFrame:
         F.struct(F.struct(F.lit("").alias("arabic"), F.lit("").alias("english")).alias("trade_name"), F.try_element_at("inn_matches", F.lit(1))["matched"].alias("inn"), F.when(first.isNotNull(), F.concat_ws(" ", first["value"], first["unit"])).alias("strength"), F.col("strengths").alias("all_strengths"), *[F.lit("").alias(c) for c in ("dosage_form", "manufacturer", "origin_country", "atc_code")]).alias("drug_info"),
         F.struct(F.col("full_text_arabic").alias("arabic"), F.col("full_text_english").alias("english"), F.col("full_text_combined").alias("combined")).alias("text_content"),
         "inn_matches",
-        F.struct("regions_flagged_for_review", (F.size("regions_flagged_for_review") > 0).alias("requires_manual_review")).alias("ocr_metadata"),
     )
-    return results.withColumn("document", F.to_json(doc, {"ignoreNullFields": "false"}))
+    own = F.create_map(F.lit("regions_flagged_for_review"), F.to_json("regions_flagged_for_review"), F.lit("requires_manual_review"), F.to_json(F.array(F.size("regions_flagged_for_review") > 0)).substr(F.lit(2), F.when(F.size("regions_flagged_for_review") > 0, 4).otherwise(5)))
+    more = F.transform_values("metadata", lambda _, v: _json_text(v)) if "metadata" in results.columns else F.lit(None).cast("map<string,string>")
+    entries = F.transform(F.map_entries(merged(own, more)), lambda e: F.concat(_json_text(e["key"]), F.lit(":"), e["value"]))
+    text = F.to_json(doc, {"ignoreNullFields": "false"})
+    return results.withColumn("document", F.concat(F.substring(text, F.lit(1), F.length(text) - 1), F.lit(',"ocr_metadata":{'), F.array_join(entries, ","), F.lit("}}")))
+
+
+def response(results: DataFrame, job_id: Column, fmt: str = "json") -> DataFrame:
+    """job_id, source_file, pages_processed, document and, where asked for, markdown: what a caller gets and the job store keeps."""
+    keep = [job_id.alias("job_id"), "source_file", "pages_processed", "document"]
+    return results.select(*keep, *(["markdown"] if fmt in ("markdown", "both") else []))
 
 
 def markdown(results: DataFrame, title: str = "Extraction Report", ts: Column | None = None) -> DataFrame:
-    """The report as Markdown text; sections only where they have content."""
+    """The report as Markdown text; sections only where they have content. The headings and labels below."""
     nl = "\n"
 
     def lines(*parts):
@@ -86,22 +141,30 @@ def markdown(results: DataFrame, title: str = "Extraction Report", ts: Column |
 
 
 def write_documents(df: DataFrame, folder: str, fmt: str = "both") -> None:
-    """Files {stem}_ocr.json and .md for each row (source_file, document, markdown); equal stems get the row's doc_id. Repeated tasks overwrite their own files."""
-    from pathlib import Path
+    """Files {stem}_ocr.json and .md for each row (source_file, document, markdown); equal stems get the row's doc_id. Repeated tasks overwrite their own files.
 
+    folder is a path or a URI of any file system that Arrow knows; on a cluster it must be a URI that all executors share.
+    """
     from foliora.functions.text import stem_of
 
+    if "://" not in folder and not df.sparkSession.sparkContext.master.startswith("local"):
+        raise ValueError("name the output folder by a URI that all executors share")
     named = df.withColumn("stem", F.coalesce(F.when(stem_of(F.col("source_file")) != "", stem_of(F.col("source_file"))), F.lit("ocr_result")))
     n = F.count("*").over(Window.partitionBy("stem"))
     named = named.withColumn("name", F.when(n > 1, F.concat_ws("_", "stem", "doc_id")).otherwise(F.col("stem"))).select("name", "document", "markdown")
 
     def write(rows):
-        Path(folder).mkdir(parents=True, exist_ok=True)
+        import os
+
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder if "://" in folder else os.path.abspath(folder))
+        store.create_dir(root, recursive=True)
         for r in rows:
-            if fmt in ("json", "both"):
-                Path(folder, f"{r['name']}_ocr.json").write_text(r["document"], encoding="utf-8")
-            if fmt in ("markdown", "both"):
-                Path(folder, f"{r['name']}_ocr.md").write_text(r["markdown"], encoding="utf-8")
+            for suffix, text, kinds in (("json", r["document"], ("json", "both")), ("md", r["markdown"], ("markdown", "both"))):
+                if fmt in kinds:
+                    with store.open_output_stream(f"{root}/{r['name']}_ocr.{suffix}") as f:
+                        f.write((text or "").encode())
 
     named.foreachPartition(write)
 
@@ -113,10 +176,19 @@ def latest_jobs(jobs: DataFrame) -> DataFrame:
 
 
 def last_jobs(jobs: DataFrame, limit: int = 20) -> DataFrame:
-    """The newest jobs first; limit 0 gives none, a negative one is refused."""
+    """The newest jobs first, with the total number of jobs; limit 0 gives none, a negative one is refused."""
     if limit < 0:
         raise ValueError("limit must not be negative")
-    return latest_jobs(jobs).orderBy(F.desc("seq")).limit(limit)
+    total = jobs.select(F.count_distinct("job_id").alias("n"))
+    return latest_jobs(jobs).orderBy(F.desc("seq")).limit(limit).withColumn("total", total.scalar())
+
+
+def page_boxes(regions: DataFrame, w: float, h: float, dpi: float = 300.0) -> DataFrame:
+    """doc_id, page, region_key, x0, y0, x1, y1, text: every page with the boxes of its regions that have text; a page without any gives one row of nulls."""
+    f = lambda c: F.col(f"bbox.{c}").cast("double")
+    corners = overlay_box(f("x"), f("y"), f("w"), f("h"), F.lit(w), F.lit(h), dpi)
+    boxes = regions.filter("bbox is not null and text <> ''").select("doc_id", "page", "region_key", *[F.bround(b, 6).alias(n) for b, n in zip(corners, ("x0", "y0", "x1", "y1"))], "text")
+    return regions.select("doc_id", "page").distinct().join(boxes, ["doc_id", "page"], "left")
 
 
 def overlay_box(x: Column, y: Column, w: Column, h: Column, pw: Column, ph: Column, dpi: float = 300.0) -> list[Column]:

@@ -52,9 +52,9 @@ UNITS_RE = "mg|ml|mcg|iu|g|l|%|مجم|مل|جم"
 STRENGTH = rf"(?i)(\p{{Nd}}+(?:[.,]\p{{Nd}}+)?){W}*({UNITS_RE})"
 SUFFIX = "(['.pdf', '.JPG', '.jpeg', '.png', '.tiff', '.tif', '.bmp', '.webp', '.docx', ''])[result_id % 10 + 1]"
 FILES = f"(SELECT result_id, CASE WHEN ends_with(source_file, '.pdf') THEN left(source_file, length(source_file) - 4) ELSE source_file END AS base, {SUFFIX} AS suf FROM {S})"
-BOXES = f"(SELECT region_key, bbox.w AS w, bbox.h AS h, CASE WHEN script IN ('arabic', 'latin', 'mixed') THEN script ELSE 'mixed' END AS script FROM {R} WHERE region_key % 11 <> 0 AND bbox IS NOT NULL)"
+BOXES = f"(SELECT region_key, bbox.w AS w, bbox.h AS h, CASE WHEN script IN ('arabic', 'latin', 'mixed') THEN script ELSE 'mixed' END AS script FROM {R} WHERE bbox IS NOT NULL AND bbox.w IS NOT NULL AND bbox.h IS NOT NULL)"
 ROUTED = f"(SELECT *, CASE WHEN script IN ('arabic', 'latin', 'mixed') THEN CASE WHEN region_key % 13 = 0 THEN 'skipped' WHEN script = 'mixed' THEN 'both' ELSE script END ELSE 'none' END AS route FROM {R})"
-ANSWERS = f"(SELECT result_id, CASE WHEN result_id % 5 <> 0 THEN full_text_english END AS en, CASE WHEN result_id % 7 <> 0 THEN full_text_arabic END AS ar FROM {S})"
+ANSWERS = f"(SELECT result_id, full_text_english AS en, full_text_arabic AS ar FROM {S})"
 CHILDREN = f"""(SELECT r.*, coalesce(s.n, 0) AS ns, coalesce(m.n, 0) AS nm, s.vals, s.v1, s.u1, s.f, m.lines, m.first_inn FROM {S} r
  LEFT JOIN (SELECT result_id, count(*) AS n, true AS f, first(value ORDER BY strength_id) AS v0, arg_min(struct_pack(v := value), strength_id).v AS v1, arg_min(struct_pack(v := unit), strength_id).v AS u1,
    string_agg('- ' || coalesce(value, '') || ' ' || coalesce(unit, ''), chr(10) ORDER BY strength_id) AS vals
@@ -82,11 +82,43 @@ def _text(expr: str, name: str = "text") -> str:
 
 
 CLEAN = arabic(units(digits("text")))
+# a neighbour of a unit name can be a part of the next match: the replacement is applied twice
+STRICT = units(digits("text"))
+for _name, _unit in sorted(ARABIC_UNITS, key=lambda u: -len(u[0])):
+    for _ in range(2):
+        STRICT = f"regexp_replace({STRICT}, '(\\p{{Nd}})({W}*){_name}([^\\p{{L}}\\p{{M}}]|$)', '\\1\\2{_unit}\\3', 'g')"
 LAST = f"(SELECT DISTINCT ON (job_id) * FROM {J} ORDER BY job_id, seq DESC)"
 STRENGTHS = f"(SELECT region_key, regexp_extract_all({units(digits('text'))}, '{STRENGTH}', 1) AS v, regexp_extract_all({units(digits('text'))}, '{STRENGTH}', 2) AS u, regexp_extract_all({units(digits('text'))}, '{STRENGTH}', 0) AS r FROM {R})"
 TOKENS = f"(SELECT region_key, unnest(toks) AS input, unnest(range(len(toks))) AS pos FROM (SELECT region_key, regexp_extract_all(text, '[a-zA-Z\\x{{0600}}-\\x{{06FF}}]{{4,}}') AS toks FROM {R}))"
 MERGED = f"(SELECT result_id, {strip('coalesce(en, chr(32))')} AS e, {strip('coalesce(ar, chr(32))')} AS a, coalesce({conf('en')}, 0.0) AS ec, coalesce({conf('ar')}, 0.0) AS ac FROM {ANSWERS} WHERE en IS NOT NULL OR ar IS NOT NULL)"
 ARWIN = f"({script('a')}) = 'arabic' AND ({script('e')}) <> 'arabic'"
+DOCS = f"""SELECT doc_id, CAST(count(DISTINCT coalesce(page, 1)) AS INTEGER) AS pages_processed,
+ coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> '' AND coalesce(script, '') <> 'latin'), '') AS full_text_arabic,
+ coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> '' AND coalesce(script, '') <> 'arabic'), '') AS full_text_english,
+ coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> ''), '') AS full_text_combined,
+ coalesce(string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY page, region_id) FILTER (WHERE text <> '' AND confidence < 0.85), '') AS regions_flagged
+ FROM (SELECT *, {CLEAN} AS c FROM {R}) GROUP BY 1"""
+
+
+def sorted_words(t: str) -> str:
+    return f"array_to_string(list_sort(list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '')), ' ')"
+
+
+def matched(tokens: str) -> str:
+    """token, inn, score, pos for the tokens of a query, by a dynamic program over the letters (rows of running maxima)."""
+    rows = "list_transform(string_split(t, ''), lambda c: list_transform(string_split(name, ''), lambda d: CASE WHEN c = d THEN 1::BIGINT ELSE 0::BIGINT END))"
+    zero = "list_transform(range(1, m + 1), lambda j: 0::BIGINT)"
+    step = "list_transform(range(1, m + 1), lambda j: list_max(list_transform(range(1, j + 1), lambda k: greatest(p[k], CASE WHEN k > 1 THEN p[k - 1] ELSE 0 END + q[k]))))"
+    bag = "200 * len(list_filter(string_split(t, ''), lambda c: contains(name, c))) >= 80 * (n + m)"
+    return f"""SELECT token, inn, pos, round_even(200.0::DOUBLE * l / (n + m), 1)::DOUBLE AS score FROM (
+ SELECT *, row_number() OVER (PARTITION BY token ORDER BY l::DOUBLE / (n + m) DESC, pos) AS best FROM (
+ SELECT *, list_max(list_reduce(list_prepend({zero}, {rows}), lambda p, q: {step})) AS l FROM (
+ SELECT * FROM (SELECT token, {sorted_words('token')} AS t, length({sorted_words('token')}) AS n FROM ({tokens})) JOIN (SELECT pos, inn, {sorted_words('inn')} AS name, length({sorted_words('inn')}) AS m FROM inn) ON 3 * n >= 2 * m AND 3 * m >= 2 * n WHERE n > 0 AND m > 0 AND {bag}))
+ WHERE 200 * l >= 80 * (n + m)) WHERE best = 1"""
+
+
+INPUTS = f"(SELECT input, lower({strip('input')}) AS token FROM (SELECT DISTINCT input FROM inn_matches WHERE input IS NOT NULL))"
+FIRST_TOKENS = f"(SELECT region_key, CAST(pos AS INTEGER) AS pos, input, lower(input) AS token FROM (SELECT *, row_number() OVER (PARTITION BY region_key, lower(input) ORDER BY pos) AS k FROM {TOKENS}) WHERE k = 1)"
 X0, Y0 = "greatest(0.0, least(bbox.x / (300.0::DOUBLE / 72), 420.0::DOUBLE))", "greatest(0.0, least(bbox.y / (300.0::DOUBLE / 72), 595.0::DOUBLE))"
 
 SQL: dict[str, str] = {
@@ -117,26 +149,26 @@ SQL: dict[str, str] = {
     "inn_fallback": "SELECT * FROM (VALUES " + ", ".join(f"({k}, '{n}')" for k, n in enumerate(KNOWN_NAMES)) + ") AS t(pos, inn)",
     "inn_tokens": f"SELECT region_key, CAST(pos AS INTEGER) AS pos, input FROM (SELECT *, row_number() OVER (PARTITION BY region_key, lower(input) ORDER BY pos) AS k FROM {TOKENS}) WHERE k = 1",
     "inn_match_substring": f"SELECT token, arg_min(inn, pos) AS matched, 85.0::DOUBLE AS score FROM (SELECT DISTINCT lower(input) AS token FROM {TOKENS}) JOIN inn ON contains(inn, token) OR contains(token, inn) GROUP BY 1",
+    "inn_match_one": f"SELECT i.input, h.inn AS matched, coalesce(h.score, 0.0::DOUBLE) AS score, CASE WHEN h.inn IS NOT NULL THEN 'list' ELSE 'none' END AS source, h.inn IS NOT NULL AS is_valid FROM {INPUTS} i LEFT JOIN ({matched(f"SELECT DISTINCT token FROM {INPUTS} WHERE token <> ''")}) h ON h.token = i.token",
+    "inn_match_all": f"SELECT t.region_key, t.pos, t.input, h.inn AS matched, h.score FROM {FIRST_TOKENS} t JOIN ({matched(f'SELECT DISTINCT token FROM {FIRST_TOKENS}')}) h ON h.token = t.token",
+    "strict_units": _text(STRICT),
     "qc_flag": f"SELECT region_key, coalesce(confidence < 0.85, false) AS needs_review FROM {R} WHERE text <> ''",
     "qc_flagged": f"SELECT doc_id, string_agg(page || ':' || region_id, ',' ORDER BY page, region_id) AS flagged FROM {R} WHERE text <> '' AND confidence < 0.85 GROUP BY 1",
-    "document_result": f"""SELECT doc_id, pages_processed, full_text_arabic, full_text_english, full_text_combined, regions_flagged, CAST(len(regexp_extract_all({units(digits('full_text_combined'))}, '{STRENGTH}')) AS INTEGER) AS n_strengths FROM (
- SELECT doc_id, CAST(count(DISTINCT coalesce(page, 1)) AS INTEGER) AS pages_processed,
- coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> '' AND coalesce(script, '') <> 'latin'), '') AS full_text_arabic,
- coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> '' AND coalesce(script, '') <> 'arabic'), '') AS full_text_english,
- coalesce(string_agg(c, chr(10) || chr(10) ORDER BY page, region_id) FILTER (WHERE text <> ''), '') AS full_text_combined,
- coalesce(string_agg(CAST(region_id AS VARCHAR), ',' ORDER BY page, region_id) FILTER (WHERE text <> '' AND confidence < 0.85), '') AS regions_flagged
- FROM (SELECT *, {CLEAN} AS c FROM {R}) GROUP BY 1)""",
+    "document_result": f"""WITH docs AS ({DOCS}), used AS (SELECT DISTINCT doc_id, lower(unnest(regexp_extract_all(full_text_combined, '[a-zA-Z\\x{{0600}}-\\x{{06FF}}]{{4,}}'))) AS token FROM docs),
+ hits AS ({matched('SELECT DISTINCT token FROM used')}), n AS (SELECT doc_id, count(*) AS n FROM used JOIN hits USING (token) GROUP BY 1)
+ SELECT doc_id, pages_processed, full_text_arabic, full_text_english, full_text_combined, regions_flagged, CAST(len(regexp_extract_all({units(digits('full_text_combined'))}, '{STRENGTH}')) AS INTEGER) AS n_strengths, CAST(coalesce(n.n, 0) AS INTEGER) AS n_matches
+ FROM docs LEFT JOIN n USING (doc_id)""",
     "result_projection": f"SELECT result_id, source_file, pages_processed, CAST(ns AS INTEGER) AS n_strengths, CAST(nm AS INTEGER) AS n_matches, coalesce(array_to_string({FLAGS}, ','), '') AS flagged FROM {CHILDREN}",
-    "json_export": f"SELECT result_id, source_file, first_inn AS inn, CASE WHEN f THEN concat_ws(' ', v1, u1) END AS strength, CASE WHEN len({FLAGS}) > 0 THEN 'true' ELSE 'false' END AS requires_manual_review FROM {CHILDREN}",
+    "json_export": f"SELECT result_id, source_file, first_inn AS inn, CASE WHEN f THEN concat_ws(' ', v1, u1) END AS strength, CASE WHEN len({FLAGS}) > 0 THEN 'true' ELSE 'false' END AS requires_manual_review, metadata['dpi'] AS dpi, metadata['timestamp'] AS timestamp FROM {CHILDREN}",
     "markdown_export": _markdown(),
     "summary": f"SELECT result_id, source_file, pages_processed, CAST(nm AS INTEGER) AS names_found, CAST(ns AS INTEGER) AS strengths_found, CAST(len({FLAGS}) AS INTEGER) AS flagged FROM {CHILDREN}",
     "job_upsert": f"SELECT * FROM {LAST}",
     "job_get": f"SELECT * FROM {LAST} WHERE job_id = (SELECT min(job_id) FROM jobs)",
-    "job_list": f"SELECT job_id, source_file, pages_processed AS pages FROM {LAST} ORDER BY seq DESC LIMIT 20",
+    "job_list": f"SELECT job_id, source_file, pages_processed AS pages, (SELECT count(DISTINCT job_id) FROM jobs) AS total FROM {LAST} ORDER BY seq DESC LIMIT 20",
     "batch_summary": f"SELECT count(*) FILTER (WHERE pages_processed IS NOT NULL) AS ok, count(*) AS total FROM {LAST}",
     "health_check": "SELECT m AS model, coalesce((SELECT bool_or(contains(p_name, m)) FROM part), false) AS available FROM (VALUES ('part 1'), ('no-such-model')) AS t(m)",
-    "overlay_geometry": f"SELECT region_key, CAST(round_even({X0}, 6) AS DOUBLE) AS x0, CAST(round_even({Y0}, 6) AS DOUBLE) AS y0, CAST(round_even(greatest({X0} + 1, least((bbox.x + bbox.w) / (300.0::DOUBLE / 72), 420.0::DOUBLE)), 6) AS DOUBLE) AS x1, CAST(round_even(greatest({Y0} + 1, least((bbox.y + bbox.h) / (300.0::DOUBLE / 72), 595.0::DOUBLE)), 6) AS DOUBLE) AS y1 FROM {R} WHERE bbox IS NOT NULL AND text <> ''",
+    "overlay_geometry": f"SELECT p.doc_id, p.page, b.region_key, b.x0, b.y0, b.x1, b.y1 FROM (SELECT DISTINCT doc_id, page FROM {R}) p LEFT JOIN (SELECT doc_id, page, region_key, CAST(round_even({X0}, 6) AS DOUBLE) AS x0, CAST(round_even({Y0}, 6) AS DOUBLE) AS y0, CAST(round_even(greatest({X0} + 1, least((bbox.x + bbox.w) / (300.0::DOUBLE / 72), 420.0::DOUBLE)), 6) AS DOUBLE) AS x1, CAST(round_even(greatest({Y0} + 1, least((bbox.y + bbox.h) / (300.0::DOUBLE / 72), 595.0::DOUBLE)), 6) AS DOUBLE) AS y1 FROM {R} WHERE bbox IS NOT NULL AND text <> '') b ON b.doc_id IS NOT DISTINCT FROM p.doc_id AND b.page IS NOT DISTINCT FROM p.page",
     "deskew_angle": "SELECT l_orderkey, l_linenumber, CAST(round_even(CASE WHEN abs(a) < 0.1 OR abs(a) > 10 THEN 0.0 ELSE a END, 4) AS DOUBLE) AS angle FROM (SELECT l_orderkey, l_linenumber, CASE WHEN q < -45 THEN -(90 + q) ELSE -q END AS a FROM (SELECT *, (l_quantity - 25) * 2 AS q FROM lineitem))",
     "base64_content": _text("base64(encode(text))", "content"),
 }
-SQL |= {"bench_normalize": SQL["postprocess_text"], "bench_strengths": SQL["extract_strengths"], "bench_document": SQL["document_result"]}
+SQL |= {"bench_inn": SQL["inn_match_all"], "bench_normalize": SQL["postprocess_text"], "bench_strengths": SQL["extract_strengths"], "bench_document": SQL["document_result"]}

@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from foliora.functions import text as X
 from foliora.operators import document as D
 from foliora.operators import matching as M
+from foliora.operators.imaging import display_order
 from foliora.operators.units import p1_found
+from foliora.plans import pipeline as P
 from foliora.sources import files as S
 from foliora.sources.tables import once, table
 
@@ -23,7 +25,7 @@ def regions(spark: SparkSession, d: str) -> DataFrame:
 
 
 def results(spark: SparkSession, d: str) -> DataFrame:
-    r = table(spark, d, "results").select("result_id", "doc_id", "source_file", "pages_processed", "full_text_arabic", "full_text_english", "full_text_combined", "regions_flagged_for_review")
+    r = table(spark, d, "results").select("result_id", "doc_id", "source_file", "pages_processed", "full_text_arabic", "full_text_english", "full_text_combined", "regions_flagged_for_review", "metadata")
     return once(r, "result_id")
 
 
@@ -56,16 +58,17 @@ def page_enumerate(spark, d):
 
 
 def _boxes(spark, d):
-    return regions(spark, d).filter("region_key % 11 <> 0 and bbox is not null").select("region_key", F.col("bbox.w").alias("w"), F.col("bbox.h").alias("h"), F.when(F.col("script").isin("arabic", "latin", "mixed"), F.col("script")).alias("script"))
+    return regions(spark, d).select("region_key", F.col("bbox.w").alias("w"), F.col("bbox.h").alias("h"), F.when(F.col("script").isin("arabic", "latin", "mixed"), F.col("script")).alias("script"))
 
 
-def layout_heuristic(spark, d):
-    return _boxes(spark, d).select("region_key", F.explode(D.split_layout(F.col("w"), F.col("h"), F.col("script"))).alias("r")).select("region_key", "r.*")
+def _layout(mode):
+    def query(spark, d):
+        return _boxes(spark, d).select("region_key", F.explode(D.layout(F.col("w"), F.col("h"), F.col("script"), mode)).alias("r")).select("region_key", "r.*")
 
+    return query
 
-def layout_full_page(spark, d):
-    s = F.coalesce("script", F.lit("mixed"))
-    return _boxes(spark, d).select("region_key", F.lit(1).alias("region_id"), F.lit(0).alias("x"), F.lit(0).alias("y"), "w", "h", s.alias("script"), F.when(s == "arabic", "rtl").otherwise("ltr").alias("direction"))
+
+layout_heuristic, layout_full_page = _layout("heuristic"), _layout("full")
 
 
 def _routed(spark, d):
@@ -87,14 +90,16 @@ def confidence(spark, d):
 
 def _answers(spark, d):
     r = results(spark, d)
-    return r.select("result_id", F.when(F.col("result_id") % 5 != 0, F.col("full_text_english")).alias("en"), F.when(F.col("result_id") % 7 != 0, F.col("full_text_arabic")).alias("ar"))
+    return r.select("result_id", F.col("full_text_english").alias("en"), F.col("full_text_arabic").alias("ar"))
 
 
 def ocr_replay(spark, d):
     a = _answers(spark, d)
     rows = a.select("result_id", F.explode(F.array(F.struct(F.lit("en").alias("lang"), F.col("en").alias("text")), F.struct(F.lit("ar").alias("lang"), F.col("ar").alias("text")))).alias("r")).select("result_id", "r.*")
     text = X.strip(F.coalesce("text", F.lit("")))
-    return rows.select("result_id", "lang", text.alias("text"), X.confidence_of(text).alias("confidence"), F.when(F.col("text").isNull(), "connection_error").alias("error"))
+    none = F.lit(None).cast("string")
+    answers = rows.select(F.col("result_id").alias("key"), "lang", F.when(F.col("text").isNotNull(), text).alias("text"), none.alias("model"), none.alias("error"))
+    return P.replayed(answers).select(F.col("key").alias("result_id"), "lang", "text", "confidence", "error")
 
 
 def ocr_fallback(spark, d):
@@ -114,6 +119,10 @@ def _text(f, name="text"):
     return lambda spark, d: regions(spark, d).select("region_key", f(F.col("text")).alias(name))
 
 
+def postprocess_text(spark, d):
+    return regions(spark, d).select("region_key", X.clean_region(F.col("text"), F.col("script")).alias("text"))
+
+
 def extract_strengths(spark, d):
     return regions(spark, d).select("region_key", F.posexplode(X.extract_strengths(F.col("text"))).alias("ord", "s")).select("region_key", "ord", "s.value", "s.unit", "s.raw")
 
@@ -152,9 +161,9 @@ def qc_flag(spark, d):
 
 
 def document_result(spark, d):
-    a = D.assemble(regions(spark, d))
+    a = D.with_matches(D.assemble(regions(spark, d)), table(spark, d, "inn"))
     flagged = F.array_join(F.transform("flagged", lambda f: f["region_id"].cast("string")), ",")
-    return a.select("doc_id", "pages_processed", "full_text_arabic", "full_text_english", "full_text_combined", flagged.alias("regions_flagged"), F.size("strengths").alias("n_strengths"))
+    return a.select("doc_id", "pages_processed", "full_text_arabic", "full_text_english", "full_text_combined", flagged.alias("regions_flagged"), F.size("strengths").alias("n_strengths"), F.size("inn_matches").alias("n_matches"))
 
 
 def qc_flagged(spark, d):
@@ -174,14 +183,14 @@ def full_results(spark, d) -> DataFrame:
     return df
 
 
-def result_projection(spark, d):
+def result_projection(spark, d) -> DataFrame:
     return full_results(spark, d).select("result_id", "source_file", "pages_processed", F.size("strengths").alias("n_strengths"), F.size("inn_matches").alias("n_matches"), F.array_join("regions_flagged_for_review", ",").alias("flagged"))
 
 
 def json_export(spark, d):
     doc = D.export_document(full_results(spark, d))
     g = lambda p: F.get_json_object("document", p)
-    return doc.select("result_id", g("$.source_file").alias("source_file"), g("$.drug_info.inn").alias("inn"), g("$.drug_info.strength").alias("strength"), g("$.ocr_metadata.requires_manual_review").alias("requires_manual_review"))
+    return doc.select("result_id", g("$.source_file").alias("source_file"), g("$.drug_info.inn").alias("inn"), g("$.drug_info.strength").alias("strength"), g("$.ocr_metadata.requires_manual_review").alias("requires_manual_review"), g("$.ocr_metadata.dpi").alias("dpi"), g("$.ocr_metadata.timestamp").alias("timestamp"))
 
 
 def markdown_export(spark, d):
@@ -206,7 +215,7 @@ def job_get(spark, d):
 
 
 def job_list(spark, d):
-    return D.last_jobs(jobs(spark, d), 20).select("job_id", "source_file", F.col("pages_processed").alias("pages"))
+    return D.last_jobs(jobs(spark, d), 20).select("job_id", "source_file", F.col("pages_processed").alias("pages"), "total")
 
 
 def batch_summary(spark, d):
@@ -220,10 +229,7 @@ def health_check(spark, d):
 
 
 def overlay_geometry(spark, d):
-    r = regions(spark, d).filter("bbox is not null and text <> ''")
-    f = lambda c: F.col(f"bbox.{c}").cast("double")
-    boxes = D.overlay_box(f("x"), f("y"), f("w"), f("h"), F.lit(420.0), F.lit(595.0))
-    return r.select("region_key", *[F.bround(b, 6).alias(n) for b, n in zip(boxes, ("x0", "y0", "x1", "y1"))])
+    return D.page_boxes(regions(spark, d), 420.0, 595.0).drop("text")
 
 
 def deskew_angle(spark, d):
@@ -240,7 +246,7 @@ QUERIES = {
     "layout_heuristic": layout_heuristic, "layout_full_page": layout_full_page, "route_regions": route_regions, "route_counts": route_counts, "confidence": confidence,
     "ocr_replay": ocr_replay, "ocr_fallback": ocr_fallback, "ocr_merge": ocr_merge, "script_detect": script_detect, "has_arabic": _text(X.has_arabic, "has_arabic"),
     "normalize_digits": _text(X.normalize_digits), "normalize_units": _text(X.normalize_units), "normalize_numerals": _text(X.normalize_numerals), "arabic_units": _text(X.arabic_units),
-    "bidi_passthrough": _text(lambda c: c), "postprocess_text": _text(X.clean), "extract_strengths": extract_strengths, "inn_fallback": inn_fallback, "inn_tokens": inn_tokens,
+    "bidi_passthrough": _text(display_order), "postprocess_text": postprocess_text, "strict_units": _text(lambda c: X.clean(c, strict_units=True)), "extract_strengths": extract_strengths, "inn_fallback": inn_fallback, "inn_tokens": inn_tokens,
     "inn_match_one": inn_match_one, "inn_match_all": inn_match_all, "inn_match_substring": inn_match_substring, "qc_flag": qc_flag, "qc_flagged": qc_flagged, "document_result": document_result,
     "result_projection": result_projection, "json_export": json_export, "markdown_export": markdown_export, "summary": summary, "job_upsert": job_upsert, "job_get": job_get, "job_list": job_list,
     "batch_summary": batch_summary, "health_check": health_check, "overlay_geometry": overlay_geometry, "deskew_angle": deskew_angle, "base64_content": base64_content,

@@ -24,11 +24,16 @@ def build_session(master: str = "local[*]", shuffle_partitions: int = 8, **conf:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder named in spark.checkpoint.dir; a temporary one only where none is named (tests)."""
+    """Use the shared folder named in spark.checkpoint.dir. A folder of this machine serves only a local master (tests); a cluster without the setting is refused."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="foliora-ckpt-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="foliora-ckpt-")
+    sc.setCheckpointDir(folder)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliora.functions.text import suffix_of
 
+# Suffixes of images, and of the files that a batch takes.
 IMAGES = [".jpg", ".jpeg", ".png", ".tiff", ".tif", ".bmp", ".webp"]
 BATCH = [".pdf", ".jpg", ".jpeg", ".png", ".tiff", ".tif"]
 # Names known without a list.
@@ -36,9 +37,19 @@ def scan_files(spark: SparkSession, folder: str, strict: bool = False) -> DataFr
 NAMES = "pos int, inn string, source string"
 
 
+def uploaded(spark: SparkSession, files: list[tuple[str, bytes]]) -> DataFrame:
+    """Files handed over in memory (name, bytes), as scan_files gives them; a suffix that is not allowed is refused with ValueError."""
+    bad = [name for name, _ in files if not name.lower().endswith(tuple([".pdf", *IMAGES]))]
+    if bad:
+        raise ValueError(f"unsupported file: {', '.join(bad)}")
+    rows = [(name, None, len(content), bytearray(content)) for name, content in files]
+    df = spark.createDataFrame(rows, "path string, modificationTime timestamp, length bigint, content binary")
+    return df.withColumn("kind", file_kind(F.col("path"))).withColumn("error", F.lit(None).cast("string"))
+
+
 def names_from_csv(spark: SparkSession, path: str) -> DataFrame:
     """First column, trimmed, in small letters, blanks dropped; no header; one file, read in its order."""
-    return _positions(spark.read.text(path, wholetext=False).select(F.trim(F.lower(F.regexp_extract("value", r'^"?([^",]*)', 1))).alias("inn")), path)
+    return _positions(spark.read.csv(path, header=False, multiLine=True, escape='"').select(F.trim(F.lower("_c0")).alias("inn")), path)
 
 
 def names_from_json(spark: SparkSession, path: str) -> DataFrame:
@@ -51,11 +62,22 @@ def names_from_text(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _positions(df: DataFrame, path: str) -> DataFrame:
-    kept = df.filter("inn != ''").withColumn("at", F.monotonically_increasing_id())
-    from pyspark.sql import Window
+    """Positions in the order of the list: the rows before in earlier partitions (one count for each) and in the row's own."""
+    kept = df.filter("inn != ''").withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id())
+    counts = kept.groupBy("part").count().orderBy("part").collect()
+    before, total = {}, 0
+    for r in counts:
+        before[r["part"]] = total
+        total += r["count"]
+    if not counts:
+        return df.sparkSession.createDataFrame([], NAMES)
+    start = F.element_at(F.create_map(*[F.lit(x) for kv in before.items() for x in kv]), F.col("part"))
+    place = start + F.row_number().over(Window.partitionBy("part").orderBy("at")) - 1
+    return kept.select(place.cast("int").alias("pos"), "inn", F.lit(path.rsplit("/", 1)[-1]).alias("source"))
+
 
-    # a reference list is one small file: its order needs one partition
-    return kept.withColumn("pos", (F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("at")) - 1).cast("int")).select("pos", "inn", F.lit(path.rsplit("/", 1)[-1]).alias("source"))
+#: Where a list is looked for if none is named.
+DEFAULT_LIST = "data/inn_list/who_inn.csv"
 
 
 def known_names(spark: SparkSession) -> DataFrame:
@@ -63,9 +85,8 @@ def known_names(spark: SparkSession) -> DataFrame:
 
 
 def load_names(spark: SparkSession, path: str | None = None) -> DataFrame:
-    """The list by its suffix; the known names where none is given or it cannot be read."""
-    if not path:
-        return known_names(spark)
+    """The list by its suffix (DEFAULT_LIST where none is named); the known names where it cannot be read."""
+    path = path or DEFAULT_LIST
     try:
         read = names_from_csv if path.endswith(".csv") else names_from_json if path.endswith(".json") else names_from_text
         df = read(spark, path)
@@ -80,26 +101,32 @@ def recorded_answers(df: DataFrame) -> DataFrame:
     return df.select("key", "lang", F.col("text"), "confidence", "model", "error")
 
 
-PAGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("page_num", T.IntegerType()), T.StructField("image", T.BinaryType()), T.StructField("error", T.StringType())])
+IMAGE = T.StructType([T.StructField("h", T.IntegerType()), T.StructField("w", T.IntegerType()), T.StructField("c", T.IntegerType()), T.StructField("data", T.BinaryType())])
+PAGE = T.StructType([T.StructField("path", T.StringType()), T.StructField("page_num", T.IntegerType()), T.StructField("image", IMAGE), T.StructField("error", T.StringType())])
 
 
 def render_pages(files: DataFrame, dpi: int = 300) -> DataFrame:
-    """Pages of PDF and image files (path, content, kind), one row each; needs an optional image library, else rows carry an error."""
+    """path, page_num, image (h, w, c, data; colours in the order blue, green, red), error: the pages of PDF files and one page for each image file.
+
+    PDF needs an optional library. Files that cannot be read, and others, give one row with an error.
+    """
 
     def render(batches):
         import pandas as pd
 
+        from foliora.operators.imaging import decode, packed
+
         for b in batches:
             out = []
             for path, content, kind in zip(b["path"], b["content"], b["kind"]):
                 try:
                     if kind == "image":
-                        out.append((path, 1, bytes(content), None))
+                        out.append((path, 1, packed(decode(bytes(content))), None))
                     elif kind == "pdf":
                         import fitz
 
                         with fitz.open(stream=bytes(content), filetype="pdf") as doc:
-                            out += [(path, k + 1, page.get_pixmap(dpi=dpi).tobytes("png"), None) for k, page in enumerate(doc)]
+                            out += [(path, k + 1, packed(decode(page.get_pixmap(dpi=dpi).tobytes("png"))), None) for k, page in enumerate(doc)]
                     else:
                         out.append((path, None, None, "unsupported file"))
                 except ImportError:

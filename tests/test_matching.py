@@ -58,3 +58,27 @@ def test_lists(spark, tmp_path):
     assert [r["inn"] for r in load_names(spark, str(tmp_path / "a.csv")).orderBy("pos").collect()] == ["aspirin", "ibuprofen"]
     assert [r["inn"] for r in load_names(spark, str(tmp_path / "a.json")).orderBy("pos").collect()] == ["aspirin", "b"]
     assert load_names(spark, str(tmp_path / "none.csv")).first()["source"] == "fallback"
+
+
+def test_long_names_and_quoted_lists(spark, tmp_path):
+    long = "abcdefghij" * 6 + "kl"
+    names = spark.createDataFrame([(0, long), (1, "abc")], "pos int, inn string")
+    tokens = spark.createDataFrame([(long,), (long[:55],), (long[::-1],), ("abd",)], "token string")
+    got = {r["token"]: (r["matched"], r["score"]) for r in M.match_tokens(tokens, names).collect()}
+    assert got == {t: (b[1], round(b[0], 1)) for t in (long, long[:55], long[::-1], "abd") if (b := brute(t, [(0, long), (1, "abc")]))} and got[long] == (long, 100.0)
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ("".join(rng.choice("abcd") for _ in range(rng.randint(0, 90))) for _ in range(2))
+        assert M.lcs_length(a, b) == lcs(a, b)
+    (tmp_path / "q.csv").write_text('"Amoxicillin, Clavulanate",x\n"A ""b""",y\n')
+    assert [r["inn"] for r in load_names(spark, str(tmp_path / "q.csv")).orderBy("pos").collect()] == ["amoxicillin, clavulanate", 'a "b"']
+
+
+def test_substrings_against_brute_force(spark):
+    rng = random.Random(4)
+    some = lambda: "".join(rng.choice("abc ") for _ in range(rng.randint(1, 7)))
+    names = [(k, some()) for k in range(60)] + [(99, "  "), (98, "")]
+    tokens = {some() for _ in range(200)} | {""}
+    got = {r["token"]: r["matched"] for r in M.match_substring(spark.createDataFrame([(t,) for t in tokens] + [(None,)], "token string"), spark.createDataFrame(names, "pos int, inn string")).collect()}
+    want = {t: next((n for _, n in sorted(names) if n.strip() and (t in n or n in t)), None) for t in tokens if t}
+    assert got == {t: n for t, n in want.items() if n is not None}

@@ -61,3 +61,12 @@ def test_offsets_point_at_raw(spark, t):
 def test_script_hint(spark):
     df = spark.createDataFrame([("paracetamol",), ("ibuprofen",), ("paracetamol_en",), ("x",)], "t string")
     assert [r[0] for r in df.select(X.script_hint(F.col("t"))).collect()] == ["arabic", "latin", "mixed", "mixed"]
+
+
+def test_offsets_of_many_strengths(spark):
+    """Offsets index the normalised text, also far into it."""
+    text = "take 500 mq of it, ٢٥ mg or 5%; " * 300
+    r = spark.createDataFrame([(text,), (None,), ("",)], "t string").select(X.extract_strengths(F.col("t")).alias("s"), X.normalize_numerals(F.col("t")).alias("n")).collect()
+    assert len(r[0]["s"]) == 900 and all(r[0]["n"][s["start"] : s["end"]] == s["raw"] for s in r[0]["s"]) and r[1]["s"] is None and r[2]["s"] == []
+    strict = spark.createDataFrame([("10 شامل 5 مكجم 7 مل.",)], "t string").select(X.clean(F.col("t"), strict_units=True).alias("c")).first()["c"]
+    assert strict == "10 شامل 5 mcg 7 mL."
