@@ -3,13 +3,15 @@
 Every printed quantity is read twice: as printed (``raw``) and as an earlier parser took it (``value``
 and ``unit``). The two readings of one row are a link between two unit spellings, each spelling being a
 source with its own scale. Over all links of a pair of spellings the operator estimates a robust scale
-(the modal ratio after snapping to known conversions, which are powers of ten) and offset (median
-residual, snapped to zero), builds a graph of spellings from the pairs that agree, and propagates scales
-from the common units through it. Spellings with too few links take the scale of their known name.
+(the modal ratio after snapping to known conversions) or, where no ratio holds, a resistant line (scale from
+the medians of the outer thirds, offset the median residual), builds a graph of spellings from the pairs that
+agree, and propagates scale and offset from the common units through it until nothing more is reached. Only
+spellings that the graph does not reach take the scale of their usual name.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import unicodedata
 from functools import lru_cache
@@ -60,8 +62,10 @@ PER = r"(?:/|\bper\b|\bpro\b|\bpar\b|\bpor\b|\bje\b|لكل)"
 DECIMAL_COMMA = {"fr", "de", "es"}
 SPACES = dict.fromkeys(map(ord, "    "), " ")
 NUMBER = re.compile(r"[0-9]+(?: [0-9]{3}(?![0-9]))*(?:[.,'٫٬][0-9]+)*")
-#: Snapping tolerance of log10 of a ratio, least links of an edge, and least share of a spelling's links that agree.
-SNAP, MIN_LINKS, MIN_SHARE, HOPS = 0.02, 3, 0.5, 3
+# Known conversions that are no powers of ten (inch, foot, ounce, pound, grain, fluid ounce, pint, gallon, teaspoon, tablespoon, degree Fahrenheit, week, day, hour and minute).
+OTHER_FACTORS = [25.4, 30.48, 28.349523125, 453.59237, 64.79891, 29.5735295625, 473.176473, 3.785411784, 4.92892159375, 14.78676478125, 5 / 9, 7.0, 24.0, 60.0]
+#: Snapping tolerance of log10 of a ratio for powers of ten and for the others, least links of a spelling, least share of its links that agree, tolerance of a line's residuals.
+SNAP, FINE, MIN_LINKS, MIN_SHARE, RESIDUAL = 0.02, 0.002, 3, 0.5, 1e-3
 
 READING = T.StructType(
     [
@@ -154,10 +158,10 @@ def tidy_unit(unit: pd.Series) -> pd.Series:
     return unit.map(lambda u: seen.setdefault(u, (tidy(u) or None) if u is not None else None))
 
 
-def _prefixes(phrase: Column) -> Column:
-    """Runs of one to six words from the start of the phrase, with their lengths."""
-    words = F.split(phrase, " ")
-    return F.transform(F.sequence(F.lit(1), F.least(F.size(words), F.lit(6))), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, 1, n), " ").alias("token")))
+def _prefixes(phrase: Column, most: int) -> Column:
+    """Runs of words (at most as many as the longest spelling has) from the start of the phrase, with their lengths."""
+    words = F.slice(F.split(phrase, " "), 1, most)
+    return F.transform(F.sequence(F.lit(1), F.size(words)), lambda n: F.struct(n.alias("n"), F.array_join(F.slice(words, 1, n), " ").alias("token")))
 
 
 def known_units(spark) -> DataFrame:
@@ -169,54 +173,91 @@ def known_units(spark) -> DataFrame:
     return spark.createDataFrame(sorted(set(rows)), "token string, dimension string, power int")
 
 
+def snapped(ratio: Column) -> Column:
+    """The known conversion nearest to a ratio: a power of ten, or another one up or down in decimal steps; null where none is near."""
+    log = F.log10(ratio)
+    other = F.array(*[F.struct(F.lit(math.log10(f)).alias("log"), F.lit(f).alias("factor")) for k in OTHER_FACTORS for f in (k, 1 / k)])
+    near = F.get(F.filter(other, lambda o: F.abs((log - o["log"]) - F.round(log - o["log"])) < FINE), F.lit(0))
+    return F.when(F.abs(log - F.round(log)) < SNAP, F.pow(F.lit(10.0), F.round(log))).otherwise(near["factor"] * F.pow(F.lit(10.0), F.round(log - near["log"])))
+
+
 def link_scales(pairs: DataFrame) -> DataFrame:
-    """Robust scale of each pair of spellings (a, b) from linked readings: columns a, b, x, y, w (links) with y = 10**power * x + offset.
+    """Robust scale and offset of each pair of spellings (a, b) from linked readings: columns a, b, x, y, w (links) with y = factor * x + offset; n of its links agree.
 
-    The ratio of every link is snapped to the nearest known conversion; the pair's scale is the modal one.
-    Links that fit no conversion count against the pair. Nulls and zeros give no link.
+    The ratio of every link is snapped to a known conversion; the pair's scale is the modal one if at least
+    MIN_SHARE of the links agree, else that of a resistant line, if it is a known conversion too and as many lie
+    on the line. Links that fit nothing count against the pair. Nulls give no link.
     """
-    ratio = F.log10(F.col("y") / F.col("x"))
-    links = pairs.filter("x > 0 and y > 0 and a is not null and b is not null").withColumn("p", F.when(F.abs(ratio - F.round(ratio)) < SNAP, F.round(ratio).cast("int")))
-    votes = links.groupBy("a", "b", "p").agg(F.sum("w").alias("n"), F.percentile_approx(F.col("y") - F.col("x") * F.pow(F.lit(10.0), F.col("p")), 0.5).alias("offset"))
-    by_pair = votes.groupBy("a", "b").agg(F.sum("n").alias("links"), F.max_by(F.struct("p", "n", "offset"), F.when(F.col("p").isNotNull(), F.col("n")).otherwise(0)).alias("m"))
-    return by_pair.filter("m.p is not null").select("a", "b", F.col("m.p").alias("power"), F.col("m.n").alias("n"), "links", F.coalesce("m.offset", F.lit(0.0)).alias("offset"))
+    links = pairs.filter("x is not null and y is not null and a is not null and b is not null").groupBy("a", "b", "x", "y").agg(F.sum("w").alias("w"))
+    ratios = links.withColumn("factor", F.when((F.col("x") > 0) & (F.col("y") > 0), snapped(F.col("y") / F.col("x"))))
+    votes = ratios.groupBy("a", "b", "factor").agg(F.sum("w").alias("n"), F.count_distinct("x").alias("kinds"))
+    modal = votes.groupBy("a", "b").agg(F.sum("n").alias("links"), F.sum("kinds").alias("kinds"), F.max_by(F.struct("factor", "n"), F.struct(F.when(F.col("factor").isNotNull(), F.col("n")).otherwise(0), -F.abs(F.log10("factor")))).alias("m"))
+    modal = cut_lineage(modal.select("a", "b", F.col("m.factor").alias("factor"), F.when(F.col("m.factor").isNotNull(), F.col("m.n")).otherwise(0).alias("n"), "links", "kinds"))
+    sure = F.coalesce(F.col("n") >= MIN_SHARE * F.col("links"), F.lit(False))
+    by_ratio = modal.filter(sure).select("a", "b", "factor", F.lit(0.0).alias("offset"), "n", "links")
+    # the rest may differ by an offset; a line needs several distinct values
+    open_ = modal.filter(~sure & (F.col("links") >= MIN_LINKS) & (F.col("kinds") >= 6)).select("a", "b", "links")
+    own = links.join(open_, ["a", "b"])
+    thirds = own.groupBy("a", "b").agg(F.percentile_approx("x", [1 / 3, 2 / 3]).alias("q"))
+    mid = lambda c, low: F.percentile_approx(F.when(F.col("x") <= F.col("q")[0] if low else F.col("x") >= F.col("q")[1], F.col(c)), 0.5)
+    lines = own.join(thirds, ["a", "b"]).groupBy("a", "b").agg(mid("x", True).alias("x0"), mid("x", False).alias("x1"), mid("y", True).alias("y0"), mid("y", False).alias("y1"))
+    lines = lines.filter("x1 > x0 and y1 > y0").withColumn("factor", snapped((F.col("y1") - F.col("y0")) / (F.col("x1") - F.col("x0")))).filter("factor is not null").select("a", "b", "factor")
+    rest = own.join(lines, ["a", "b"]).withColumn("r", F.col("y") - F.col("factor") * F.col("x"))
+    offsets = rest.groupBy("a", "b").agg(F.percentile_approx("r", 0.5, 10_000).alias("offset"))
+    on = F.abs(F.col("r") - F.col("offset")) <= RESIDUAL * F.greatest(F.abs(F.col("y")), F.abs(F.col("offset")))
+    by_line = rest.join(offsets, ["a", "b"]).groupBy("a", "b", "factor", "offset", "links").agg(F.sum(F.when(on, F.col("w")).otherwise(0)).alias("n")).filter(F.col("n") >= MIN_SHARE * F.col("links"))
+    return by_ratio.unionByName(by_line.select("a", "b", "factor", "offset", "n", "links")).unionByName(modal.filter(~sure).join(by_line, ["a", "b"], "left_anti").select("a", "b", F.lit(None).cast("double").alias("factor"), F.lit(0.0).alias("offset"), F.lit(0).cast("bigint").alias("n"), "links"))
 
 
 def propagate(edges: DataFrame, anchors: DataFrame, names: DataFrame) -> DataFrame:
-    """(token, dimension, power) of every spelling that the graph joins to a common unit.
+    """(token, dimension, factor, offset) of every spelling that the graph joins to a common unit: amount = factor * number + offset.
 
-    anchors: the common units at power 0. names: known conversions of usual names. Each hop gives a spelling
-    the (dimension, power) with most agreeing links to spellings already placed; it is placed if that is at
-    least MIN_LINKS links and MIN_SHARE of all its links. Spellings left over, or with fewer links, take
-    their known name. Ties go to the smaller dimension and power.
+    anchors: the common units. names: known conversions of usual names. Each round gives a spelling the conversion
+    with most agreeing links to spellings already placed; it is placed if that is at least MIN_LINKS links and
+    MIN_SHARE of its links to them (links of a spelling with itself, or with one not yet placed, tell nothing).
+    Rounds go on until none is placed; then every spelling is judged once more by all its neighbours. Spellings left
+    over take their known name. Ties go to the smaller dimension and factor.
     """
-    ok = edges.filter("abs(offset) < 1e-3 * pow(10, power) or offset = 0")
-    both = ok.select("a", "b", "power", "n").unionByName(ok.select(F.col("b").alias("a"), F.col("a").alias("b"), (-F.col("power")).alias("power"), "n")).filter("a != b")
-    total = edges.select(F.col("a").alias("token"), "links").unionByName(edges.filter("a != b").select(F.col("b").alias("token"), "links")).groupBy("token").agg(F.sum("links").alias("total"))
-    symbols = names.filter(F.length("token") <= 3).filter(F.col("token").rlike("^[a-z]+$"))
-    both, total = cut_lineage(both), cut_lineage(total)
-    placed = anchors.unionByName(symbols).dropDuplicates(["token"])
-    for _ in range(HOPS):
-        new = (
-            both.join(placed.select(F.col("token").alias("b"), "dimension", F.col("power").alias("q")), "b")
-            .join(placed.select(F.col("token").alias("a")), "a", "left_anti")
-            .groupBy("a", "dimension", (F.col("power") + F.col("q")).alias("power"))
-            .agg(F.sum("n").alias("n"))
+    told = edges.filter("a != b").select("a", "b", "factor", "offset", "n", "links")
+    back = told.select(F.col("b").alias("a"), F.col("a").alias("b"), (1 / F.col("factor")).alias("factor"), (-F.col("offset") / F.col("factor")).alias("offset"), "n", "links")
+    both = cut_lineage(told.unionByName(back))
+    placed = cut_lineage(anchors.dropDuplicates(["token"]).withColumn("offset", F.lit(0.0)).select("token", "dimension", "factor", "offset"))
+
+    def votes(of: DataFrame, by: DataFrame) -> DataFrame:
+        return (
+            of.join(by.select(F.col("token").alias("b"), "dimension", F.col("factor").alias("f"), F.col("offset").alias("o")), "b")
+            .withColumn("whole", F.col("f") * F.col("factor"))
+            .withColumn("shift", F.col("f") * F.col("offset") + F.col("o"))
+            .groupBy("a", "dimension", F.round(F.log10("whole"), 4).alias("log"), F.round("shift", 6).alias("shift"))
+            .agg(F.sum("n").alias("n"), F.min("whole").alias("whole"), F.sum("links").alias("links"))
             .groupBy("a")
-            .agg(F.max_by(F.struct("dimension", "power", "n"), F.struct("n", F.col("dimension"), -F.col("power"))).alias("m"))
-            .join(total.withColumnRenamed("token", "a"), "a")
-            .filter((F.col("m.n") >= MIN_LINKS) & (F.col("m.n") >= MIN_SHARE * F.col("total")))
-            .select(F.col("a").alias("token"), "m.dimension", "m.power")
+            .agg(F.max_by(F.struct("dimension", "log", "whole", "shift", "n"), F.struct(F.when(F.col("log").isNotNull(), F.col("n")).otherwise(0), F.col("dimension"), -F.col("log"))).alias("m"), F.sum("links").alias("total"))
+            .filter((F.col("m.n") >= MIN_LINKS) & (F.col("m.n") >= MIN_SHARE * F.col("total")) & F.col("m.log").isNotNull())
+            .select(F.col("a").alias("token"), "m.dimension", F.when(F.abs(F.col("m.log") - F.round("m.log")) < 1e-3, F.pow(F.lit(10.0), F.round("m.log"))).otherwise(F.col("m.whole")).alias("factor"), F.col("m.shift").alias("offset"))
         )
-        placed = cut_lineage(placed.unionByName(new))
-    return placed.unionByName(names.join(placed.select("token"), "token", "left_anti")).select("token", "dimension", F.col("power").cast("int").alias("power"))
-
 
-def common_amounts(strengths: DataFrame, targets: DataFrame) -> DataFrame:
+    known = first = placed.count()
+    while True:
+        placed = cut_lineage(placed.unionByName(votes(both.join(placed.select(F.col("token").alias("a")), "a", "left_anti"), placed)))
+        n = placed.count()
+        if n == known:
+            break
+        known = n
+    if known > first:
+        start = anchors.select("token")
+        again = votes(both.join(start.withColumnRenamed("token", "a"), "a", "left_anti"), placed)
+        kept = placed.join(again.select("token"), "token", "left_anti")
+        placed = cut_lineage(kept.unionByName(again.select(*kept.columns)))
+    usual = names.select("token", "dimension", F.pow(F.lit(10.0), F.col("power")).alias("factor"), F.lit(0.0).alias("offset"))
+    return placed.unionByName(usual.join(placed.select("token"), "token", "left_anti"))
+
+
+def common_amounts(strengths: DataFrame, targets: DataFrame, names: DataFrame | None = None) -> DataFrame:
     """One row for each strength whose amount and unit can be told: strength_id, dimension, common_unit, amount, plain.
 
     strengths needs strength_id, lang, value, unit, raw; other columns are ignored. targets: dimension,
-    common_unit. ``plain`` says that the row is already in common form. Nulls in any column, empty and
+    common_unit; names: token, dimension, power, the usual names that serve where links are too few (known_units
+    by default). ``plain`` says that the row is already in common form. Nulls in any column, empty and
     very long texts, zero amounts and unknown units give no row or are read from what is left; repeated
     rows give equal rows (the result is distinct); empty tables give an empty result.
     """
@@ -230,24 +271,26 @@ def common_amounts(strengths: DataFrame, targets: DataFrame) -> DataFrame:
     # the scales are fitted on the distinct readings with their counts: far fewer than rows
     fit = cut_lineage(parsed(once(keyed, "strength_id").groupBy("lang", "value", "unit", "raw").agg(F.count("*").alias("rows"))))
 
-    anchors = targets.select(F.lower("common_unit").alias("token"), "dimension").withColumn("power", F.lit(0))
-    names = known_units(spark)
-    vocabulary = fit.groupBy(F.col("u").alias("token")).agg(F.sum("rows").alias("n")).filter("token is not null and n >= 2").select("token").unionByName(names.select("token")).distinct()
-
-    def tokens(of: DataFrame, phrase: str, token: str) -> DataFrame:
-        """phrase, token: the longest run of words at the phrase's start that is a unit spelling."""
-        return of.filter(F.col(phrase).isNotNull()).select(phrase).distinct().withColumn("c", F.explode(_prefixes(F.col(phrase)))).select(phrase, "c.n", F.col("c.token").alias("token")).join(vocabulary, "token").groupBy(phrase).agg(F.max_by("token", "n").alias(token))
-
-    phrases = fit.select(F.explode(F.array("rp", "vp", "r.per_phrase", "v.per_phrase")).alias("phrase"))
-    words = cut_lineage(tokens(phrases, "phrase", "token"))
-    linked = fit.filter(F.col("rp").isNotNull() & F.col("u").isNotNull() & F.col("r.per_phrase").isNull()).join(words.withColumnRenamed("phrase", "rp"), "rp")
-    edges = link_scales(linked.select(F.col("token").alias("a"), F.col("u").alias("b"), F.col("r.number").alias("x"), F.col("v.number").alias("y"), F.col("rows").alias("w")))
+    anchors = targets.select(F.lower("common_unit").alias("token"), "dimension").withColumn("factor", F.lit(1.0))
+    names = known_units(spark) if names is None else names
+    phrases = cut_lineage(fit.select(F.explode(F.array("rp", "vp", "r.per_phrase", "v.per_phrase")).alias("phrase"), "rows").filter("phrase is not null").groupBy("phrase").agg(F.sum("rows").alias("n")))
+    # spellings: what the parser took for a unit, usual names, and whole phrases no longer than those
+    parser = fit.groupBy(F.col("u").alias("token")).agg(F.sum("rows").alias("n")).filter("token is not null and n >= 2").select("token")
+    listed = parser.unionByName(names.select("token")).unionByName(anchors.select("token"))
+    most = listed.agg(F.max(F.size(F.split("token", " ")))).first()[0] or 1
+    whole = phrases.filter((F.col("n") >= MIN_LINKS) & (F.size(F.split("phrase", " ")) <= most)).select(F.col("phrase").alias("token"))
+    vocabulary = cut_lineage(listed.unionByName(whole).distinct())
+    prefixes = cut_lineage(phrases.select("phrase", F.explode(_prefixes(F.col("phrase"), most)).alias("c")).select("phrase", "c.n", "c.token").join(vocabulary, "token"))
+
+    linked = fit.filter(F.col("rp").isNotNull() & F.col("u").isNotNull() & F.col("r.per_phrase").isNull()).join(prefixes.select(F.col("phrase").alias("rp"), "token"), "rp")
+    edges = cut_lineage(link_scales(linked.select(F.col("token").alias("a"), F.col("u").alias("b"), F.col("r.number").alias("x"), F.col("v.number").alias("y"), F.col("rows").alias("w"))))
     scales = propagate(edges, anchors, names)
-    scaled = cut_lineage(words.join(scales, "token").select("phrase", "dimension", "power"))
+    # a phrase takes the longest of its beginnings that has a scale
+    scaled = cut_lineage(prefixes.join(scales, "token").groupBy("phrase").agg(F.max_by(F.struct("dimension", "factor", "offset"), "n").alias("s")).select("phrase", "s.*"))
     rows = parsed(keyed)
 
     def with_scale(df: DataFrame, phrase: str, as_: str) -> DataFrame:
-        return df.join(scaled.select(F.col("phrase").alias(phrase), F.struct("dimension", "power").alias(as_)), phrase, "left")
+        return df.join(scaled.select(F.col("phrase").alias(phrase), F.struct("dimension", "factor", "offset").alias(as_)), phrase, "left")
 
     flat = rows.select("strength_id", "value", "unit", "rp", "vp", F.col("r.number").alias("rn"), F.col("v.number").alias("vn"), F.col("r.per_number").alias("rdn"), F.col("v.per_number").alias("vdn"), F.col("r.per_phrase").alias("rdp"), F.col("v.per_phrase").alias("vdp"), "u")
     flat = with_scale(with_scale(with_scale(with_scale(flat, "rp", "rs"), "vp", "vs"), "rdp", "rds"), "vdp", "vds")
@@ -261,7 +304,7 @@ def common_amounts(strengths: DataFrame, targets: DataFrame) -> DataFrame:
     over_volume = dp.isNotNull() & (d["dimension"] == "volume")
     out = flat.select("strength_id", "value", "unit", n.alias("n"), s.alias("s"), d.alias("d"), dn.alias("dn"), over_volume.alias("over"))
     kind = F.when(F.coalesce("over", F.lit(False)), F.when(F.col("s.dimension") == "mass", F.lit("concentration"))).otherwise(F.col("s.dimension"))
-    amount = F.col("n") * F.pow(F.lit(10.0), F.col("s.power")) / F.when(F.coalesce("over", F.lit(False)), F.col("dn") * F.pow(F.lit(10.0), F.col("d.power"))).otherwise(F.lit(1.0))
+    amount = (F.col("n") * F.col("s.factor") + F.col("s.offset")) / F.when(F.coalesce("over", F.lit(False)), F.col("dn") * F.col("d.factor")).otherwise(F.lit(1.0))
     out = out.select("strength_id", "value", "unit", kind.alias("dimension"), amount.alias("amount")).filter("dimension is not null and amount is not null").join(targets.select("dimension", "common_unit").dropDuplicates(["dimension"]), "dimension")
     plain = (F.col("unit") == F.col("common_unit")) & F.col("value").rlike(r"^[0-9]+(\.[0-9]+)?$") & (F.abs(F.expr("try_cast(value as double)") - F.col("amount")) <= 1e-9 * F.greatest(F.lit(1.0), F.col("amount")))
     return out.select("strength_id", "dimension", "common_unit", "amount", F.coalesce(plain, F.lit(False)).alias("plain"))

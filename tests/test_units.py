@@ -34,3 +34,34 @@ def test_amounts(spark):
 
 def test_empty(spark):
     assert common_amounts(spark.createDataFrame([], SCHEMA), spark.createDataFrame(TARGETS, "dimension string, common_unit string")).count() == 0
+
+
+NONE = "token string, dimension string, power int"
+
+
+def linked(k, printed, unit, factor, offset=0.0, n=8):
+    """n rows printed in one unit and parsed in another."""
+    return [(k + x, "en", f"{x * factor + offset:.6f}".rstrip("0").rstrip("."), unit, f"{x} {printed}") for x in range(2, 2 + n)]
+
+
+def test_conversions_from_links_alone(spark):
+    """A chain of six hops, conversions that are no powers of ten, and one with an offset, without any table of names."""
+    rows, chain = [], ["mg", "uu", "vv", "ww", "xx", "yy", "zz"]
+    for k in range(6):  # one of the next is ten of the one before
+        rows += linked(100 * (k + 1), chain[k + 1], chain[k], 10)
+    rows += linked(1000, "oz", "mg", 28349.523125) + linked(1100, "qq", "mg", 10, 5) + linked(1200, "noise", "mg", 1, n=2)
+    rows += [(1300 + k, "en", str(k * k + 1), "mg", f"{k} odd") for k in range(3, 12)]
+    rows += [(9000 + k, "en", None, None, f"3 {u}") for k, u in enumerate([*chain, "oz", "qq", "noise", "odd"])]
+    targets = spark.createDataFrame(TARGETS, "dimension string, common_unit string")
+    got = {r["strength_id"]: round(r["amount"], 3) for r in common_amounts(spark.createDataFrame(rows, SCHEMA), targets, spark.createDataFrame([], NONE)).collect()}
+    assert [got.get(9000 + k) for k in range(7)] == [3.0 * 10**k for k in range(7)]
+    assert got[9007] == 85048.569 and got[9008] == 35.0 and 9009 not in got and 9010 not in got
+
+
+def test_recall_without_names(spark):
+    """Where every spelling is linked to the common one often enough, the table of names adds nothing."""
+    rows = [r for k, (u, f) in enumerate([("g", 1000), ("gram", 1000), ("mcg", 0.001), ("milligrams", 1), ("kg", 1_000_000)]) for r in linked(100 * (k + 1), u, "mg", f)]
+    targets = spark.createDataFrame(TARGETS, "dimension string, common_unit string")
+    df = spark.createDataFrame(rows, SCHEMA)
+    amounts = lambda d: {r["strength_id"]: round(r["amount"], 6) for r in d.collect()}
+    assert amounts(common_amounts(df, targets, spark.createDataFrame([], NONE))) == amounts(common_amounts(df, targets)) and len(amounts(common_amounts(df, targets))) == 40
