@@ -2,7 +2,8 @@
 
 Nearest-centroid classification: sentences become normalised TF-IDF vectors of words and letter trigrams; the
 labelled training sentences of each language are clustered into several centroids (spherical k-means); a
-sentence takes the language of the nearest centroid by cosine, unless every centroid is too far. Training
+sentence takes the language of the nearest centroid by cosine, unless every centroid is too far. How far is too far
+is calibrated, for each language and length of sentence, on held-out sentences of the language. Training
 labels may be wrong: sentences that the first fit gives to another language are left out of the second.
 """
 
@@ -15,7 +16,7 @@ from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,8 +24,10 @@ from foliora.sources.tables import table
 
 LANGUAGES = ("ar", "de", "en", "es", "fa", "fr")
 ARABIC_SCRIPT = {"ar", "fa"}
-#: Dimensions of the hashed vectors, centroids for each language, training sentences for each language (a documented bound), least cosine.
+#: Dimensions of the hashed vectors, centroids for each language, training sentences for each language of each table (a documented bound), least cosine.
 DIM, CENTROIDS, TRAIN_SENTENCES, REJECT = 6144, 4, 800, 0.04
+#: Lengths in words at which sentences are told apart for rejection; a sentence is too far below SLACK times the cosine that all but FAR of at least HELD held-out sentences reach; parts of the training sentences that are held out in turn; share of the best cosine from which a language is about as near.
+LENGTHS, FAR, SLACK, HELD, FOLDS, ABOUT = (6, 10, 20), 0.005, 0.75, 30, 4, 0.9
 # Language names and codes by the code of two letters.
 CODES = {"ar": "ar ara arabic", "de": "de deu ger german", "en": "en eng english", "es": "es spa spanish", "fa": "fa fas per pes prs persian farsi", "fr": "fr fra fre french"}
 CODE_OF = {c: k for k, v in CODES.items() for c in v.split()}
@@ -62,7 +65,7 @@ def stretches(text: str, headers: set[str]) -> list[tuple[int, int]]:
     out, at, start = [], 0, 0
     for line in text.split("\n"):
         end = at + len(line)
-        if line.strip() and len(line) < 160 and _line_key(line) in headers:
+        if line.strip() and _line_key(line) in headers:
             out += [(start + a, start + z) for a, z in sentence_spans(text[start:at])]
             out.append((at, end))
             start = end
@@ -108,6 +111,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
+def length_class(text: str) -> int:
+    return int(np.searchsorted(LENGTHS, len(_RAW.findall(text)), "right"))
+
+
 _ARABIC = re.compile("[\u0620-\u065f\u066e-\u06d3\u06fa-\u06ff\ufb50-\ufdff\ufe70-\ufefc]+")
 
 
@@ -116,6 +123,7 @@ class Model:
 
     def __init__(self, idf: np.ndarray, centroids: np.ndarray, langs: list[str]) -> None:
         self.idf, self.centroids, self.langs = idf, centroids, langs
+        self.least: dict[tuple[str, int], float] = {}
         self.order = sorted(set(langs))
         self._known: dict[str, int] = {}
         self._rows: list[np.ndarray] = []
@@ -177,9 +185,24 @@ class Model:
                 continue
             ranked = sorted(mine, key=lambda k: -row[k])
             best, second = row[ranked[0]], row[ranked[1]] if len(ranked) > 1 else 0.0
-            out.append((self.order[ranked[0]] if best >= REJECT else None, float(best / (best + second)) if best > 0 else 0.0))
+            k = length_class(t)
+            # of languages about as near, the first that is near enough for its own sentences
+            near = [self.order[i] for i in ranked if row[i] >= ABOUT * best and row[i] >= max(REJECT, self.least.get((self.order[i], k), 0.0))]
+            out.append((near[0] if near else None, float(best / (best + second)) if best > 0 else 0.0))
         return out
 
+    def nearest(self, texts: list[str], langs) -> list[tuple[str, int, float]]:
+        """Language, length and best cosine of the sentences that are given to their language."""
+        s = self.scores(texts)
+        return [(g, length_class(t), float(row.max())) for t, g, row in zip(texts, langs, s) if self.order[int(row.argmax())] == g]
+
+    def calibrate(self, held_out: list[tuple[str, int, float]]) -> None:
+        """Sets how near a sentence of each language and length must be."""
+        seen: dict[tuple[str, int], list[float]] = {}
+        for g, k, best in held_out:
+            seen.setdefault((g, k), []).append(best)
+        self.least = {key: SLACK * float(np.quantile(v, FAR)) for key, v in seen.items() if len(v) >= HELD}
+
     def spellings(self, texts: list[str]) -> list[str]:
         """ar, fa or latin: the spelling that each text follows. Only Arabic script needs the classifier; a doubtful or short text goes by the letters that only one spelling has."""
         out = ["latin"] * len(texts)
@@ -212,11 +235,22 @@ class Model:
 
 
 def fit(sentences: pd.DataFrame, seed: int = 0) -> Model:
-    """sentences: text, lang. Deterministic for the same rows."""
+    """sentences: text, lang. Each of FOLDS parts is held out in turn for the distances at which sentences are rejected; the model learns from all. Deterministic for the same rows."""
     x = np.stack([features(t) for t in sentences["text"]])
     y = sentences["lang"].to_numpy()
+    model = _fit(x, y, seed)
+    best: list[tuple[str, str, float]] = []
+    for k in range(FOLDS):
+        fold = np.arange(len(y)) % FOLDS == k
+        if fold.any() and set(y[~fold]) == set(y):
+            best += _fit(x[~fold], y[~fold], seed).nearest(list(sentences["text"][fold]), y[fold])
+    model.calibrate(best)
+    return model
+
+
+def _fit(x: np.ndarray, y: np.ndarray, seed: int) -> Model:
     idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32)
-    x *= idf
+    x = x * idf
     x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
     v = x
     keep = np.ones(len(v), bool)
@@ -244,17 +278,19 @@ def fit(sentences: pd.DataFrame, seed: int = 0) -> Model:
 
 
 def training_sentences(spark, sf_dir: str, most: int = TRAIN_SENTENCES) -> pd.DataFrame:
-    """At most ``most`` sentences for each language, those of smallest hash: results' two sides and labelled documents."""
+    """At most ``most`` sentences for each language of each table, those of smallest hash: results' two sides and labelled documents."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
     res = table(spark, sf_dir, "results")
     sides = res.select(F.col("full_text_english").alias("text"), F.lit("en").alias("lang")).unionByName(res.select(F.col("full_text_arabic").alias("text"), F.lit("ar").alias("lang")))
     code = F.element_at(F.create_map(*[F.lit(x) for kv in CODE_OF.items() for x in kv]), F.split(F.lower(F.trim("lang")), "[-_]")[0])
-    sent = docs.unionByName(sides).withColumn("lang", code).filter("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("whole"), F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").withColumn("h", F.xxhash64("whole", "text"))
-    parts = [sent.filter(F.col("lang") == g).orderBy("h", "text").limit(most) for g in LANGUAGES]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select("text", "lang").toPandas().sort_values(["lang", "text"]).reset_index(drop=True)
+    both = docs.withColumn("of", F.lit("documents")).unionByName(sides.withColumn("of", F.lit("results")))
+    sent = both.withColumn("lang", code).filter("lang is not null and text is not null").select("lang", "of", F.xxhash64("text").alias("whole"), F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").select("lang", "of", F.xxhash64("whole", "text").alias("h"), "text")
+    # distinct hashes first, the smallest of each language and table: copies neither travel nor crowd out others
+    smallest = sent.select("lang", "of", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", "of").orderBy("h"))).filter(F.col("k") <= most).groupBy("lang", "of").agg(F.max("h").alias("last")).collect()
+    if not smallest:
+        return pd.DataFrame({"text": [], "lang": []})
+    taken = sent.filter(F.greatest(F.lit(False), F.lit(False), *[(F.col("lang") == r["lang"]) & (F.col("of") == r["of"]) & (F.col("h") <= r["last"]) for r in smallest]))
+    return taken.groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang").toPandas().sort_values(["lang", "text"]).reset_index(drop=True)
 
 
 def fitted(spark, sf_dir: str) -> Model:
@@ -282,7 +318,7 @@ def without_furniture(text: str, headers: set[str]) -> str:
     out = []
     for line in text.split("\n"):
         s = line.strip()
-        if s and (is_furniture(s) or (len(s) < 160 and headers and _line_key(s) in headers)):
+        if s and (is_furniture(s) or (headers and _line_key(s) in headers)):
             line = " " * len(line)
         out.append(line)
     return "\n".join(out)

@@ -195,25 +195,41 @@ PREFIXES, ENDINGS = set("می نمی بی به هم کم پیش پس باز".spl
 JOINED_SHARE, JOINED_TEXTS = 0.5, 3
 
 
-def proper_joined(forms: dict[str, tuple[int, int]]) -> frozenset[str]:
-    """The joined spellings that are proper, of form: (distinct texts with it, distinct texts with the same unjoined).
+def proper_joined(joined: DataFrame) -> DataFrame:
+    """form: the joined spellings that are proper, of form, n (distinct texts with it), m (distinct texts with the same unjoined).
 
-    One in few texts also needs a usual prefix or ending, or another one that holds it (words cut at a line) or has its first or last part.
+    One in few texts also needs a usual prefix or ending, or another one that begins or ends with it (words cut at a
+    line) or has its first or last part.
     """
-    usual = {f: n for f, (n, bare) in forms.items() if f[-1] != JOINER and n >= JOINED_SHARE * (n + bare)}
-    sure = {f for f, n in usual.items() if n >= JOINED_TEXTS}
-    first, last, whole = {*PREFIXES, *(f.split(JOINER)[0] for f in sure)}, {*ENDINGS, *(f.split(JOINER)[-1] for f in sure)}, "\n".join(sorted(sure))
-    return frozenset(f for f in usual if f in sure or f.split(JOINER)[0] in first or f.split(JOINER)[-1] in last or f in whole)
+    usual = joined.filter(~F.endswith("form", F.lit(JOINER)) & (F.col("n") >= JOINED_SHARE * (F.col("n") + F.col("m")))).select("form", "n")
+    sure, few = usual.filter(F.col("n") >= JOINED_TEXTS).select("form"), usual.filter(F.col("n") < JOINED_TEXTS).select("form")
+    spark = joined.sparkSession
+    first = lambda c: F.split(c, JOINER)[0]
+    last = lambda c: F.element_at(F.split(c, JOINER), -1)
+    firsts = sure.select(first(F.col("form")).alias("part")).unionByName(spark.createDataFrame([(p,) for p in sorted(PREFIXES)], "part string")).distinct()
+    lasts = sure.select(last(F.col("form")).alias("part")).unionByName(spark.createDataFrame([(p,) for p in sorted(ENDINGS)], "part string")).distinct()
+    n = F.length("form")
+    pieces = sure.select(F.explode(F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.array(F.col("form").substr(F.lit(1), i), F.col("form").substr(i, n))))).alias("form")).filter(F.contains("form", F.lit(JOINER))).distinct()
+    held = few.withColumn("part", first(F.col("form"))).join(firsts, "part", "left_semi").select("form")
+    held = held.unionByName(few.withColumn("part", last(F.col("form"))).join(lasts, "part", "left_semi").select("form")).unionByName(few.join(pieces, "form", "left_semi"))
+    return sure.unionByName(held).distinct()
 
 
 COUNTS = T.StructType([T.StructField("lang", T.StringType()), T.StructField("form", T.StringType()), T.StructField("n", T.LongType())])
 UNIFIED = T.StructType([T.StructField("text", T.StringType()), T.StructField("strange", T.BooleanType())])
-#: Most distinct forms that a broadcast table may hold; the operator stops beyond it.
+#: Most joined spellings that every task holds; if there are more, each text gets its own by a join.
 MOST_FORMS = 500_000
 
 
+@lru_cache(maxsize=1)
+def members() -> frozenset[str]:
+    """The characters that belong to a class: the only ones whose counts matter, a fixed number."""
+    return frozenset(c for of in look_alikes().classes().values() for c in of if len(c) == 1)
+
+
 def character_counts(texts: DataFrame, model: Model) -> DataFrame:
-    """lang, form, n over the distinct texts: characters, by language of their sentence; and words of Persian sentences (form begins with a space), by distinct texts."""
+    """lang, form, n over the distinct texts: characters that have look-alikes, by language of their sentence; and words of Persian sentences (form begins with a space), by distinct texts."""
+    known = members()
 
     def count(batches):
         import collections
@@ -230,7 +246,7 @@ def character_counts(texts: DataFrame, model: Model) -> DataFrame:
                     own.update(LETTER_RUN.findall(s))
                     own.update(JOINED.findall(s))
             for lang, own in by_lang.items():
-                seen.update({(lang, c): n for c, n in collections.Counter("\n".join(own)).items()})
+                seen.update({(lang, c): n for c, n in collections.Counter("\n".join(own)).items() if c in known})
             for own in words.values():
                 seen.update(("fa", " " + w) for w in own)
             yield pd.DataFrame([(g, c, n) for (g, c), n in seen.items()], columns=COUNTS.names)
@@ -238,7 +254,22 @@ def character_counts(texts: DataFrame, model: Model) -> DataFrame:
     return texts.select("text").distinct().mapInPandas(count, COUNTS).groupBy("lang", "form").agg(F.sum("n").alias("n"))
 
 
-def unify(texts: DataFrame, model: Model) -> DataFrame:
+def own_joiners(texts: DataFrame, proper: DataFrame) -> DataFrame:
+    """The texts with ``joiners``: the proper joined spellings among their words."""
+    runs = F.array_distinct(F.regexp_extract_all("text", F.lit(f"[\\p{{L}}\\p{{M}}]+(?:{JOINER}[\\p{{L}}\\p{{M}}]*)+"), F.lit(0)))
+    hashed = texts.withColumn("__text", F.xxhash64("text"))
+    used = hashed.filter(F.contains("text", F.lit(JOINER))).select("__text", F.explode(runs).alias("printed"))
+
+    @F.pandas_udf(T.StringType())
+    def unified(printed: pd.Series) -> pd.Series:
+        return printed.map(lambda w: one_form(w, "fa", representatives({}, "fa"), frozenset([w])))
+
+    per = used.distinct().join(proper, F.col("printed") == F.col("form"), "left_semi").unionByName(used.select("__text", unified("printed").alias("printed")).distinct().join(proper, F.col("printed") == F.col("form"), "left_semi"))
+    per = per.groupBy("__text").agg(F.collect_set("printed").alias("joiners"))
+    return hashed.join(per, "__text", "left").drop("__text")
+
+
+def unify(texts: DataFrame, model: Model, most_forms: int = MOST_FORMS) -> DataFrame:
     """The input rows with ``plain`` (one form) and ``strange`` (did the rewriting change any character).
 
     texts needs a column text, and may have headers (array of the headings of the text's pages). Two passes: counts of characters by language over all distinct texts, then the
@@ -249,25 +280,26 @@ def unify(texts: DataFrame, model: Model) -> DataFrame:
     words = counted.filter("form like ' _%'").select(F.substring("form", 2, 1 << 30).alias("form"), "n")
     bare = words.select(F.col("form").alias("bare"), F.col("n").alias("m"))
     joined = words.filter(F.contains("form", F.lit(JOINER))).withColumn("bare", F.replace("form", F.lit(JOINER), F.lit(""))).join(bare, "bare", "left").select("form", "n", F.coalesce("m", F.lit(0)).alias("m"))
-    proper = joined.filter(F.col("n") >= JOINED_SHARE * (F.col("n") + F.col("m")))
-    held = counted.filter("form not like ' _%'").limit(MOST_FORMS + 1).collect()
-    forms = proper.limit(MOST_FORMS + 1).collect()
-    if max(len(held), len(forms)) > MOST_FORMS:
-        raise ValueError(f"more than {MOST_FORMS} distinct forms")
-    counts = {(r["lang"], r["form"]): r["n"] for r in held}
-    joiners = proper_joined({r["form"]: (r["n"], r["m"]) for r in forms})
+    proper = cut_lineage(proper_joined(joined))
+    # characters with look-alikes in a handful of languages: bounded by Unicode
+    counts = {(r["lang"], r["form"]): r["n"] for r in counted.filter("form not like ' _%'").collect()}
+    everywhere = proper.count() <= most_forms
+    joiners = frozenset(r["form"] for r in proper.collect()) if everywhere else frozenset()
     reps = {lang: representatives(counts, lang) for lang in {lang for lang, _ in counts} | {""}}
 
     def apply(batches):
         words: dict = {}
 
-        def unified(s: str, lang: str) -> str:
+        def unified(s: str, lang: str, own: frozenset[str]) -> str:
             """Word by word, each distinct one rewritten once; the automaton rewrites no member with a space inside."""
             if s.isascii():
                 return s
             parts = re.split(r"(\s+)", _ODD_SPACE.sub(" ", s))
             for k, w in enumerate(parts):
                 if w and not w.isascii():
+                    if own and JOINER in w:  # judged by the text's own joined spellings
+                        parts[k] = one_form(w, lang, reps.get(lang, reps[""]), own)
+                        continue
                     key = (lang, w)
                     if key not in words:
                         if len(words) > 200_000:
@@ -284,20 +316,21 @@ def unify(texts: DataFrame, model: Model) -> DataFrame:
             headers = b["headers"] if "headers" in b else [None] * len(b)
             placed = [stretches(t, set(h) if h is not None else set()) if t and not t.isascii() else [] for t, h in zip(b["text"], headers)]
             told = iter(model.languages([s for t, spans in zip(b["text"], placed) for a, z in spans if not (s := t[a:z]).isascii()]))
-            for text, spans in zip(b["text"], placed):
+            own_sets = [frozenset(j) if j is not None else frozenset() for j in b["joiners"]] if "joiners" in b else [frozenset()] * len(b)
+            for text, spans, own in zip(b["text"], placed, own_sets):
                 if not text or text.isascii():
                     new.append(text)
                     continue
                 parts, at = [], 0
                 for a, z in spans:
                     s = text[a:z]
-                    parts += [between(text[at:a]), s if s.isascii() else unified(s, next(told))]
+                    parts += [between(text[at:a]), s if s.isascii() else unified(s, next(told), own)]
                     at = z
                 new.append("".join(parts) + between(text[at:]))
-            yield b.assign(plain=new, strange=[bool(t) and t != p for t, p in zip(b["text"], new)])
+            yield b.drop(columns=[] if everywhere else ["joiners"]).assign(plain=new, strange=[bool(t) and t != p for t, p in zip(b["text"], new)])
 
     schema = T.StructType([*[f for f in texts.schema.fields if f.name not in ("plain", "strange")], T.StructField("plain", T.StringType()), T.StructField("strange", T.BooleanType())])
-    return texts.mapInPandas(apply, schema)
+    return (texts if everywhere else own_joiners(texts, proper)).mapInPandas(apply, schema)
 
 
 def p4_texts(spark, sf_dir: str) -> DataFrame:

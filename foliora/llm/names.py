@@ -32,7 +32,10 @@ MISREAD = str.maketrans("0156893|!$@", "oisbbgelisa")
 LETTERS = re.compile(r"[^\W\d_]", re.U)
 #: Least length of a token for each number of edits, least length of a cut-off name, least score of a match.
 EDITS = ((10, 3), (6, 2), (4, 1))
-LEAST_PREFIX, LEAST_SCORE, LONGEST_RUN = 5, 0.75, 3
+LEAST_PREFIX, LEAST_SCORE = 5, 0.75
+
+#: Distinct inputs that a task splits into runs.
+INPUTS_A_TASK = 50_000
 
 PIECES = T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType()), T.StructField("token", T.StringType()), T.StructField("cut", T.BooleanType())]))
 CHOSEN = T.ArrayType(T.StructType([T.StructField("token", T.StringType()), T.StructField("sim", T.DoubleType())]))
@@ -48,8 +51,8 @@ def transcribe(token: str) -> str:
     return "".join(LATIN_TO_ARABIC.get(c, c) for c in token)
 
 
-def runs(text: str | None) -> list[tuple[int, int, str, bool]]:
-    """(first piece, end, letters, cut off) of every piece and run of up to LONGEST_RUN pieces of one text."""
+def runs(text: str | None, shortest: int = 4, longest: int = 40) -> list[tuple[int, int, str, bool]]:
+    """(first piece, end, letters, cut off) of every run of pieces of one text that a vocabulary with forms of shortest to longest letters can hold."""
     if not text:
         return []
     pieces: list[tuple[str, bool]] = []
@@ -60,16 +63,22 @@ def runs(text: str | None) -> list[tuple[int, int, str, bool]]:
     closing = text.rstrip()[-1:] in (".", "-", "…")
     out = []
     for i in range(len(pieces)):
-        for j in range(i + 1, min(len(pieces), i + LONGEST_RUN) + 1):
-            token = "".join(p[0] for p in pieces[i:j])
-            if len(token) >= 4:
+        token = ""
+        for j in range(i + 1, len(pieces) + 1):
+            token += pieces[j - 1][0]
+            if len(token) > longest + EDITS[0][1]:
+                break
+            if len(token) >= shortest:
                 out.append((i, j, token, closing and j == len(pieces)))
     return out
 
 
-@F.pandas_udf(PIECES)
-def split_runs(text: pd.Series) -> pd.Series:
-    return text.map(runs)
+def split_runs(text, shortest: int, longest: int):
+    @F.pandas_udf(PIECES)
+    def split(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: runs(t, shortest, longest))
+
+    return split(text)
 
 
 def edits(length) -> int:
@@ -96,7 +105,7 @@ def choose(found: pd.Series) -> pd.Series:
 def vocabulary(entries: DataFrame) -> DataFrame:
     """form, vocab, idf: the tokens of the list as written and in Arabic transcription."""
     n = entries.count()
-    tokens = entries.select("pos", F.explode(F.array_distinct(F.filter(F.split(F.lower("inn"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3))).alias("vocab"))
+    tokens = entries.select("pos", F.explode(F.array_distinct(F.filter(F.split(F.lower("inn"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))).alias("vocab"))
     idf = tokens.groupBy("vocab").agg(F.log(F.lit(1.0 + n) / F.count_distinct("pos")).alias("idf"))
     arabic = F.col("vocab")
     for a, b in LATIN_TO_ARABIC.items():
@@ -164,11 +173,16 @@ def match_names(names: DataFrame, entries: DataFrame) -> DataFrame:
     inputs = names.select("input").filter(F.length(F.trim("input")) > 0).distinct()
     listed = entries.select("pos", "inn").filter("pos is not null and inn is not null").dropDuplicates(["pos"])
     vocab = cut_lineage(vocabulary(listed))
-    found = cut_lineage(inputs.withColumn("r", F.explode(split_runs("input"))).select("input", "r.*"))
+    sizes = vocab.agg(F.min(F.length("form")).alias("least"), F.max(F.length("form")).alias("most")).first()
+    least = sizes["least"] or 1
+    inputs = cut_lineage(inputs)
+    # spread by rows, not bytes: the work is in the letters of few and short rows
+    parts = max(names.sparkSession.sparkContext.defaultParallelism, inputs.count() // INPUTS_A_TASK)
+    found = cut_lineage(inputs.repartition(parts).withColumn("r", F.explode(split_runs("input", max(1, min(LEAST_PREFIX, least - edits(least))), sizes["most"] or 0))).select("input", "r.*"))
     fixed = repair(found.select("token", "cut"), vocab)
     per_input = found.join(fixed, "token").groupBy("input").agg(F.collect_list(F.struct("start", "end", "vocab", "sim")).alias("found")).select("input", F.explode(choose("found")).alias("t")).select("input", F.col("t.token").alias("vocab"), F.col("t.sim").alias("sim"))
     weights = vocab.select("vocab", "idf").distinct()
-    entry_tokens = listed.select("pos", "inn", F.explode(F.array_distinct(F.filter(F.split(F.lower("inn"), r"[^\p{L}\p{N}]+"), lambda t: F.length(t) >= 3))).alias("vocab")).join(weights, "vocab")
+    entry_tokens = listed.select("pos", "inn", F.explode(F.array_distinct(F.filter(F.split(F.lower("inn"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))).alias("vocab")).join(weights, "vocab")
     norms = entry_tokens.groupBy("pos", "inn").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("entry_norm"))
     typed = per_input.join(weights, "vocab")
     typed_norm = typed.groupBy("input").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("input_norm"))

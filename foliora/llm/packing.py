@@ -23,8 +23,9 @@ from foliora.sources.tables import table
 #: Path of the public tokenizer's ranks, texts for each shard.
 TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 SHARD_TEXTS = 4000
-#: Most capacities; the operator stops beyond it.
-MOST_LIMITS = 1000
+#: Capacities that one pass over the texts takes; more are taken in several.
+LIMITS_A_PASS = 1000
+# Fixed value: how the tokenizer's vocabulary expects text to be split.
 _PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
@@ -115,13 +116,18 @@ def pack_documents(counted: DataFrame, limits: DataFrame, shard_texts: int = SHA
     counted = counted.select("doc_id", F.coalesce("n_tokens", F.lit(0)).alias("n_tokens")).filter("doc_id is not null")
     shards = max(1, -(-counted.count() // shard_texts))
     caps = limits.select(F.col("limit_id").cast("int").alias("limit_id"), F.col("capacity_tokens").cast("int").alias("capacity")).filter("limit_id is not null and capacity > 0").dropDuplicates(["limit_id"])
-    kinds = caps.orderBy("limit_id").limit(MOST_LIMITS + 1).collect()
-    if len(kinds) > MOST_LIMITS:
-        raise ValueError(f"more than {MOST_LIMITS} capacities")
-    each = F.array(*[F.struct(F.lit(r["limit_id"]).alias("limit_id"), F.lit(r["capacity"]).alias("capacity")) for r in kinds])
+    kinds = caps.orderBy("limit_id").collect()  # the stated sizes of containers
     if not kinds:
         return counted.sparkSession.createDataFrame([], PACKED)
-    rows = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int")).select("doc_id", "n_tokens", "shard", F.explode(each).alias("c")).select("doc_id", "n_tokens", "shard", "c.limit_id", "c.capacity")
+    sharded = counted.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).cast("int"))
+
+    def sized(block: list) -> DataFrame:
+        each = F.array(*[F.struct(F.lit(r["limit_id"]).alias("limit_id"), F.lit(r["capacity"]).alias("capacity")) for r in block])
+        return sharded.select("doc_id", "n_tokens", "shard", F.explode(each).alias("c")).select("doc_id", "n_tokens", "shard", "c.limit_id", "c.capacity")
+
+    rows = sized(kinds[:LIMITS_A_PASS])
+    for k in range(LIMITS_A_PASS, len(kinds), LIMITS_A_PASS):
+        rows = rows.unionByName(sized(kinds[k : k + LIMITS_A_PASS]))
 
     def one(b: pd.DataFrame) -> pd.DataFrame:
         limit, capacity, shard = int(b["limit_id"].iloc[0]), int(b["capacity"].iloc[0]), int(b["shard"].iloc[0])

@@ -77,6 +77,15 @@ _LOOSE_EMAIL = re.compile(r"[^\s@＠,;<>]+\s?(?:@|\(at\)|\[at\]|\(a\)|＠)\s?[^\
 _LOOSE_ADDRESS = re.compile(rf"(?<![\w.,/-]){_HOUSE},? [{UP}][{LOW}'’-]+(?: [{UP}][{LOW}'’-]+){{1,2}}(?![\w-])")
 _ID_MIXED = re.compile(rf"(?<![\w.+/-])[A-Z]{{1,4}}{D}{{5,}}[A-Z]{{1,2}}{D}{{1,2}}(?![\w-])")
 _HAS_ARABIC = re.compile("[ء-ۓ]")
+#: Quick tests that no span of a kind fails: six digits near each other, a house number before a word, parts of names of streets.
+_DENSE = re.compile(rf"{D}(?:[-. /()+A-Z]{{0,4}}{D}){{5}}")
+_HOUSE_START = re.compile(rf"(?<![\w.-])(?={_HOUSE},? [^\W\d_])")
+_BY_HOUSE = (_ADDRESS[0], _ADDRESS[1], _LOOSE_ADDRESS)
+_BY_STREET = (
+    (_ADDRESS[2], ("calle", "avda", "avenida", "av.", "c/", "plaza", "paseo", "camino", "c.")),
+    (_ADDRESS[3], ("str.", "straße", "strasse", "weg", "gasse", "platz", "allee", "hof", "ring", "damm", "ufer")),
+    (_ADDRESS[4], tuple(STREETS_BEFORE[-6:])),
+)
 
 
 def arabic_pairs(text: str):
@@ -96,20 +105,25 @@ def candidates(text: str, known=None) -> list[tuple[str, int, int]]:
     out = []
     if _AT.search(text):
         out += [("email", *m.span()) for r in (_EMAIL, _LOOSE_EMAIL) for m in r.finditer(text)]
-    for m in _PHONE.finditer(text):
-        s = m[0].rstrip(" ./-")
-        if len(s) >= 7:
-            n = sum(map(str.isdigit, re.sub(r"(?:ext|x)\.?\s?\S+$", "", s) if "x" in s else s))
-            if 7 <= n <= 16:
-                out.append(("phone", m.start(), m.start() + len(s)))
-    for m in _ID.finditer(text):
-        s = m[0]
-        if len(s) >= 8 and sum(map(str.isdigit, s)) >= 6 and sum(map(str.isalnum, s)) >= 8:
-            out.append(("id_number", *m.span()))
-    out += [("id_number", *m.span()) for m in _ID_MIXED.finditer(text)]
+    if _DENSE.search(text):
+        for m in _PHONE.finditer(text):
+            s = m[0].rstrip(" ./-")
+            if len(s) >= 7:
+                n = sum(map(str.isdigit, re.sub(r"(?:ext|x)\.?\s?\S+$", "", s) if "x" in s else s))
+                if 7 <= n <= 16:
+                    out.append(("phone", m.start(), m.start() + len(s)))
+        for m in _ID.finditer(text):
+            s = m[0]
+            if len(s) >= 8 and sum(map(str.isdigit, s)) >= 6 and sum(map(str.isalnum, s)) >= 8:
+                out.append(("id_number", *m.span()))
+        out += [("id_number", *m.span()) for m in _ID_MIXED.finditer(text)]
     arabic = not text.isascii() and bool(_HAS_ARABIC.search(text))
-    for r in (*_ADDRESS[: None if arabic else -1], _LOOSE_ADDRESS):
-        out += [("address", *m.span()) for m in r.finditer(text)]
+    for m in _HOUSE_START.finditer(text):
+        out += [("address", m.start(), n.end()) for r in _BY_HOUSE if (n := r.match(text, m.start()))]
+    low = text.lower()
+    for r, signs in _BY_STREET:
+        if any(w in low for w in signs):
+            out += [("address", *m.span()) for m in r.finditer(text)]
     for m in _NAME_START.finditer(text):
         out += [("name", m.start(), n.end()) for r in _NAMES if (n := r.match(text, m.start()))]
     if arabic:
@@ -214,7 +228,7 @@ class Finder:
                 left, right, last, first = beside(t, a, z)
                 rows.append((k, kind, a, z, left, right, cue(kind, last, first), kind in NUMBERS and any(cue(o, last, first) > 0 for o in NUMBERS if o != kind)))
         told = self._labels(texts, rows)
-        self._learn(texts, rows, told)
+        self._learn(texts, rows, told, ("name",))
         # once more, with names without a cue labelled by what was learned: their contexts become known, too
         loose = [i for i, r in enumerate(rows) if r[1] == "name" and r[6] == 0]
         if loose and "name" in self.models:
@@ -224,10 +238,10 @@ class Finder:
                     told[i] = 1
                 elif told[i] == 0 and q >= OPEN:
                     told[i] = None
-            self._learn(texts, rows, told)
+        self._learn(texts, rows, told)
         return self
 
-    def _learn(self, texts: list[str], rows: list[tuple], told: list[int | None]) -> None:
+    def _learn(self, texts: list[str], rows: list[tuple], told: list[int | None], kinds: tuple[str, ...] = KINDS) -> None:
         """Log odds, trees and thresholds from the labelled rows."""
         self.odds = {}
         rows, y = [r for r, v in zip(rows, told) if v is not None], [v for v in told if v is not None]
@@ -241,7 +255,7 @@ class Finder:
             if good[k] + bad[k] >= 3:
                 kind = re.split(r"[<>~=]", k)[0]
                 self.odds[k] = math.log((good[k] + 0.5) / (total[kind, 1] + 1)) - math.log((bad[k] + 0.5) / (total[kind, 0] + 1))
-        for kind in KINDS:
+        for kind in kinds:
             mine = [i for i, r in enumerate(rows) if r[1] == kind]
             if not mine:
                 continue

@@ -28,6 +28,17 @@ def test_languages(model):
     assert [x[2] for x in s] == ["en", "ar"] and langid.segments(None, None, model) == []
 
 
+def test_far_sentences_are_rejected():
+    """Sentences of languages without centroids are too far; held-out ones of known languages are not."""
+    rng = random.Random(1)
+    words = {g: sorted({w for s in ts for w in s.split()}) for g, ts in (("en", EN), ("fr", FR), ("de", DE))}
+    made = [(" ".join(rng.choice(words[g]) for _ in range(11)), g) for g in words for _ in range(200)]
+    m = langid.fit(pd.DataFrame(made[: 3 * 200], columns=["text", "lang"]).sort_values(["lang", "text"]).reset_index(drop=True))
+    assert m.least and [g for g, _ in m.classify([f"{' '.join(rng.choice(words[g]) for _ in range(11))}" for g in ("en", "fr", "de") for _ in range(20)])] == ["en"] * 20 + ["fr"] * 20 + ["de"] * 20
+    far = ["Nie stosować tego leku w ciąży ani podczas karmienia piersią wcale nigdy.", "Älä käytä tätä lääkettä jos olet raskaana tai imetät lasta koskaan ikinä."]
+    assert [g for g, _ in m.classify(far)] == [None, None]
+
+
 def test_label_cases(spark, model):
     schema = "region_key bigint, doc_id string, script string, lang string, text string, segments int"
     rows = [(1, "d", "latin", "EN-gb", EN[0], 1), (2, "d", None, "en", EN[1], 1), (3, "d", "latin", "fr", EN[0], 1), (4, "d", "mixed", "ar", AR[0] + " " + EN[2], 1), (5, "d", "x", "y", None, 1), (6, None, "latin", "en", "", 1), (2, "d", None, "en", EN[1], 1)]
@@ -60,12 +71,15 @@ def test_lookalikes_found_by_rewriting(spark, model):
 
 def test_stray_joiners(spark, model):
     forms = {"می‌شود": (1, 0), "چا‌پ": (5, 68), "چاپ‌": (9, 0), "چاپ‌شده": (4, 0), "اپ‌شده": (1, 0), "جلی‌تیس": (2, 0)}
-    assert lookalikes.proper_joined(forms) == {"می‌شود", "چاپ‌شده", "اپ‌شده"}
+    joined = spark.createDataFrame([(f, n, m) for f, (n, m) in forms.items()], "form string, n bigint, m bigint")
+    assert {r["form"] for r in lookalikes.proper_joined(joined).collect()} == {"می‌شود", "چاپ‌شده", "اپ‌شده"}
     stray = "اگر تب یا تهوع دیدید به پز‌شک خود بگویید."
     rows = [stray] * 5 + ["اگر تب یا تهوع دیدید به پزشک خود بگویید.", "مقدار را با آب‌ فراوان بخورید و نجوید.", *FA]
     got = {r["k"]: r for r in lookalikes.unify(spark.createDataFrame(list(enumerate(rows)), "k int, text string"), model).collect()}
     assert [got[k]["strange"] for k in range(len(rows))] == [True] * 5 + [False, True] + [False] * len(FA)
     assert got[0]["plain"] == rows[5]
+    many = {r["k"]: (r["strange"], r["plain"]) for r in lookalikes.unify(spark.createDataFrame(list(enumerate(rows)), "k int, text string"), model, most_forms=0).collect()}
+    assert many == {k: (r["strange"], r["plain"]) for k, r in got.items()}  # the joined spellings joined to each text instead of held
 
 
 LIST = ["paracetol", "ibuprofex", "metformine", "aspirol metformine", "zopiclonax"]
@@ -80,6 +94,12 @@ def test_names(spark):
     assert {r["pos"] for r in names.match_names(df, entries.limit(0)).collect()} == {-1}
 
 
+def test_names_in_many_pieces(spark):
+    entries = spark.createDataFrame(list(enumerate(LIST)) + [(9, "zinc")], "pos int, inn string")
+    df = spark.createDataFrame([("p a r a c e t o l",), ("ibu pro fe x 5 mg",), ("zinc",), ("zin",)], "input string")
+    assert {r["input"]: r["pos"] for r in names.match_names(df, entries).collect()} == {"p a r a c e t o l": 0, "ibu pro fe x 5 mg": 1, "zinc": 9, "zin": 9}
+
+
 def test_segment_join_finds_all_within_edits():
     rng = random.Random(2)
     for _ in range(400):
@@ -222,6 +242,8 @@ def test_pack_documents(spark):
     for r in rows:
         use[r["container"]] = use.get(r["container"], 0) + r["n_tokens"]
     assert max(use.values()) <= 100 and len([u for u in use.values() if u]) == 4
+    many = spark.createDataFrame([(k, 100) for k in range(packing.LIMITS_A_PASS + 5)], "limit_id int, capacity_tokens int")
+    assert {r["count"] for r in packing.pack_documents(docs.limit(1), many).groupBy("limit_id").count().collect()} == {3}
     assert packing.pack_documents(docs.limit(0), limits).count() == 0 and packing.pack_documents(docs, limits.limit(0)).count() == 0
 
 
