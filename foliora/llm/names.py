@@ -150,10 +150,10 @@ def probe_keys_of(token: pd.Series) -> pd.Series:
     return token.map(probe_keys)
 
 
-def repair(tokens: DataFrame, vocab: DataFrame) -> DataFrame:
-    """token, vocab, sim: vocabulary tokens within the permitted edits of each distinct token, or that it begins."""
+def repair(tokens: DataFrame, vocab: DataFrame, parts: int) -> DataFrame:
+    """token, vocab, sim: vocabulary tokens within the permitted edits of each distinct token, or that it begins; keys are made in ``parts`` tasks."""
     keyed = vocab.withColumn("key", F.explode(segment_keys_of("form")))
-    pairs = tokens.select("token").distinct().withColumn("key", F.explode(probe_keys_of("token"))).join(keyed, "key").select("token", "form", "vocab").distinct()
+    pairs = tokens.select("token").distinct().repartition(parts).withColumn("key", F.explode(probe_keys_of("token"))).join(keyed, "key").select("token", "form", "vocab").distinct()
     k = F.expr(f"case when length(form) >= {EDITS[0][0]} then {EDITS[0][1]} when length(form) >= {EDITS[1][0]} then {EDITS[1][1]} when length(form) >= {EDITS[2][0]} then {EDITS[2][1]} else 0 end")
     d = F.levenshtein("token", "form")
     near = pairs.withColumn("d", d).filter(F.col("d") <= k).select("token", "vocab", (1 - F.col("d") / F.greatest(F.length("token"), F.length("form"))).alias("sim"))
@@ -179,7 +179,7 @@ def match_names(names: DataFrame, entries: DataFrame) -> DataFrame:
     # spread by rows, not bytes: the work is in the letters of few and short rows
     parts = max(names.sparkSession.sparkContext.defaultParallelism, inputs.count() // INPUTS_A_TASK)
     found = cut_lineage(inputs.repartition(parts).withColumn("r", F.explode(split_runs("input", max(1, min(LEAST_PREFIX, least - edits(least))), sizes["most"] or 0))).select("input", "r.*"))
-    fixed = repair(found.select("token", "cut"), vocab)
+    fixed = repair(found.select("token", "cut"), vocab, parts)
     per_input = found.join(fixed, "token").groupBy("input").agg(F.collect_list(F.struct("start", "end", "vocab", "sim")).alias("found")).select("input", F.explode(choose("found")).alias("t")).select("input", F.col("t.token").alias("vocab"), F.col("t.sim").alias("sim"))
     weights = vocab.select("vocab", "idf").distinct()
     entry_tokens = listed.select("pos", "inn", F.explode(F.array_distinct(F.filter(F.split(F.lower("inn"), r"[^\p{L}\p{N}]+"), lambda t: t != ""))).alias("vocab")).join(weights, "vocab")
