@@ -278,19 +278,21 @@ def _fit(x: np.ndarray, y: np.ndarray, seed: int) -> Model:
 
 
 def training_sentences(spark, sf_dir: str, most: int = TRAIN_SENTENCES) -> pd.DataFrame:
-    """At most ``most`` sentences for each language of each table, those of smallest hash: results' two sides and labelled documents."""
+    """At most ``most`` sentences for each language of each table (results' two sides and labelled documents): those of smallest hash from as many distinct texts of smallest hash, read whole."""
     docs = table(spark, sf_dir, "documents").select("text", "lang")
     res = table(spark, sf_dir, "results")
     sides = res.select(F.col("full_text_english").alias("text"), F.lit("en").alias("lang")).unionByName(res.select(F.col("full_text_arabic").alias("text"), F.lit("ar").alias("lang")))
     code = F.element_at(F.create_map(*[F.lit(x) for kv in CODE_OF.items() for x in kv]), F.split(F.lower(F.trim("lang")), "[-_]")[0])
     both = docs.withColumn("of", F.lit("documents")).unionByName(sides.withColumn("of", F.lit("results")))
-    sent = both.withColumn("lang", code).filter("lang is not null and text is not null").select("lang", "of", F.xxhash64("text").alias("whole"), F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").select("lang", "of", F.xxhash64("whole", "text").alias("h"), "text")
-    # distinct hashes first, the smallest of each language and table: copies neither travel nor crowd out others
-    smallest = sent.select("lang", "of", "h").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", "of").orderBy("h"))).filter(F.col("k") <= most).groupBy("lang", "of").agg(F.max("h").alias("last")).collect()
+    texts = both.withColumn("lang", code).filter("lang is not null and length(text) >= 25").select("lang", "of", F.xxhash64("text").alias("whole"), "text")
+    # texts of smallest hash first, told apart by their hashes alone: copies neither travel nor crowd out others
+    smallest = texts.select("lang", "of", "whole").distinct().withColumn("k", F.row_number().over(Window.partitionBy("lang", "of").orderBy("whole"))).filter(F.col("k") <= most).groupBy("lang", "of").agg(F.max("whole").alias("last")).collect()
     if not smallest:
         return pd.DataFrame({"text": [], "lang": []})
-    taken = sent.filter(F.greatest(F.lit(False), F.lit(False), *[(F.col("lang") == r["lang"]) & (F.col("of") == r["of"]) & (F.col("h") <= r["last"]) for r in smallest]))
-    return taken.groupBy("lang", "h").agg(F.min("text").alias("text")).select("text", "lang").toPandas().sort_values(["lang", "text"]).reset_index(drop=True)
+    taken = texts.filter(F.greatest(F.lit(False), F.lit(False), *[(F.col("lang") == r["lang"]) & (F.col("of") == r["of"]) & (F.col("whole") <= r["last"]) for r in smallest])).groupBy("lang", "of", "whole").agg(F.min("text").alias("text"))
+    sent = taken.select("lang", "of", "whole", F.explode(F.split("text", r"(?<=[.!?؟])\s+|\n")).alias("text")).filter("length(text) >= 25").withColumn("h", F.xxhash64("whole", "text"))
+    picked = sent.withColumn("k", F.row_number().over(Window.partitionBy("lang", "of").orderBy("h", "text"))).filter(F.col("k") <= most)
+    return picked.select("text", "lang").toPandas().sort_values(["lang", "text"]).reset_index(drop=True)
 
 
 def fitted(spark, sf_dir: str) -> Model:
