@@ -236,23 +236,26 @@ class Model:
 
 def fit(sentences: pd.DataFrame, seed: int = 0) -> Model:
     """sentences: text, lang. Each of FOLDS parts is held out in turn for the distances at which sentences are rejected; the model learns from all. Deterministic for the same rows."""
-    x = np.stack([features(t) for t in sentences["text"]])
+    x = np.empty((len(sentences), DIM), np.float32)
+    for k, t in enumerate(sentences["text"]):
+        x[k] = features(t)
     y = sentences["lang"].to_numpy()
-    model = _fit(x, y, seed)
-    best: list[tuple[str, str, float]] = []
+    best: list[tuple[str, int, float]] = []
     for k in range(FOLDS):
         fold = np.arange(len(y)) % FOLDS == k
         if fold.any() and set(y[~fold]) == set(y):
-            best += _fit(x[~fold], y[~fold], seed).nearest(list(sentences["text"][fold]), y[fold])
+            best += _fit(x, y, seed, ~fold).nearest(list(sentences["text"][fold]), y[fold])
+    model = _fit(x, y, seed)
     model.calibrate(best)
     return model
 
 
-def _fit(x: np.ndarray, y: np.ndarray, seed: int) -> Model:
-    idf = np.log((1 + len(x)) / (1 + np.count_nonzero(x, axis=0))).astype(np.float32)
-    x = x * idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    v = x
+def _fit(x: np.ndarray, y: np.ndarray, seed: int, rows: np.ndarray | None = None) -> Model:
+    """Of the counts x, which are weighted in place, or of some rows of them, which are copied."""
+    v, y = (x, y) if rows is None else (x[rows], y[rows])
+    idf = np.log((1 + len(v)) / (1 + np.count_nonzero(v, axis=0))).astype(np.float32)
+    v *= idf
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v))[:, None], 1e-9)
     keep = np.ones(len(v), bool)
     for _ in range(2):
         rng = np.random.default_rng(seed)
