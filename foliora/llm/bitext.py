@@ -2,10 +2,11 @@
 
 Shared numbers, codes, names (by transcription) and cognates are anchors. A first pass over the corpus pairs
 sentences by anchors alone and counts which words of the two languages meet in such pairs, which gives a lexicon. The
-second collects the pairs of clauses that share an anchor or a rare word and its translation through inverted lists,
-chains the sure ones of them by a longest increasing subsequence, and aligns the gaps between neighbours on the chain
-by local dynamic programming in a band, with omissions and merges. Sure pairs off the chain are kept as reordered
-ones. The work grows with the length of a text, not with the product of its sides.
+second finds the best partner of every clause through inverted lists, chains the sure pairs by a longest increasing
+subsequence, and aligns the gaps between neighbours on the chain by dynamic programming over the pairs that can count,
+with omissions and merges. Sure pairs off the chain are kept as reordered ones. No pair is left out: lists are read from
+the rarest member on only until what is left of a clause can change nothing, and a clause that would need a long list
+is compared with the whole other side at once, in arrays.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import unicodedata
 from bisect import bisect_left
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -29,8 +31,10 @@ from foliora.sources.tables import once, table
 
 #: Least meetings and association of a lexicon entry, most entries held by every task (a larger lexicon is joined to each text's words instead), least scores.
 LEAST_MEETINGS, LEAST_DICE, MOST_ENTRIES = 4, 0.15, 400_000
-#: An anchor or word proposes pairs of clauses if the product of its uses on both sides is not above RARE; half the width of the band in which a gap is aligned.
-RARE, BAND = 64, 24
+#: Longest list that is read entry by entry; a clause that needs a longer one is compared with all of the other side in arrays, with the same result.
+SHORT = 64
+#: Slack of bounds on sums of shares, for their rounding; digits of scores, so that the order of a sum makes no difference between partners.
+SLACK, DIGITS = 1e-9, 12
 SURE, CONTAINED, GAP = 0.72, 0.72, 0.5
 ANCHOR_WEIGHT = 3.0
 
@@ -156,32 +160,97 @@ def postings(sets: list[set]) -> dict[str, list[int]]:
     return out
 
 
+class Inverted:
+    """How much of every clause of one side is contained in those of the other; a member (word or anchor) of a clause has the list of the others' clauses with how much of it they contain."""
+
+    def __init__(self, members: list, into: dict[object, dict[int, float]], weight: list[float], size: int) -> None:
+        self.into, self.weight, self.size = into, weight, size
+        self.most = {k: max(row.values()) for k, row in into.items()}
+        cost = {k: len(row) / self.most[k] for k, row in into.items()}
+        self.own = [sorted((k for k in ks if k in into), key=cost.__getitem__) for ks in members]
+        self._arrays: dict[object, tuple[np.ndarray, np.ndarray]] = {}
+        self._back: list[list[tuple[object, float]]] | None = None
+
+    def share(self, i: int, j: int) -> float:
+        """The share of clause i that the other side's clause j contains."""
+        return sum(self.into[k].get(j, 0.0) for k in self.own[i]) / self.weight[i] if self.own[i] else 0.0
+
+    def shares(self, i: int) -> np.ndarray:
+        """The shares of clause i that each of the other side's clauses contains."""
+        out = np.zeros(self.size)
+        for k in self.own[i]:
+            got = self._arrays.get(k)
+            if got is None:
+                row = self.into[k]
+                got = self._arrays[k] = np.fromiter(row, np.int64, len(row)), np.fromiter(row.values(), float, len(row))
+            out[got[0]] += got[1]
+        return out / self.weight[i] if self.own[i] else out
+
+    def shares_by(self, j: int) -> np.ndarray:
+        """The shares of all clauses that the other side's clause j contains."""
+        if self._back is None:
+            self._back = [[] for _ in range(self.size)]
+            for k, row in self.into.items():
+                for h, d in row.items():
+                    self._back[h].append((k, d))
+            self._places = {k: np.array(v) for k, v in postings(self.own).items()}
+            self._weights = np.array([w or 1.0 for w in self.weight])
+        out = np.zeros(len(self.own))
+        for k, d in self._back[j]:
+            if k in self._places:
+                out[self._places[k]] += d
+        return out / self._weights
+
+    def lists(self, i: int):
+        """The lists of clause i, shortest for their weight first, each with the greatest share that a clause in none before it can contain."""
+        left = sum(self.most[k] for k in self.own[i])
+        for k in self.own[i]:
+            yield left / self.weight[i], self.into[k]
+            left = max(0.0, left - self.most[k])
+
+    def reach(self, i: int, least: float) -> dict[int, float]:
+        """Every clause of the other side that contains at least such a share of clause i, with the share."""
+        some: set[int] = set()
+        for bound, row in self.lists(i):
+            if bound < least - SLACK:
+                break
+            if len(row) > SHORT:
+                every = self.shares(i)
+                js = np.flatnonzero(every >= least - SLACK)
+                return dict(zip(js.tolist(), every[js].tolist()))
+            some.update(row)
+        return {j: x for j in some if (x := self.share(i, j)) >= least - SLACK}
+
+
+#: Least score of an anchor pair; a partner within RIVAL of it makes it doubtful.
+ANCHORED, RIVAL = 0.9, 0.1
+
+
 def by_anchors(e: list[set], a: list[set]) -> list[tuple[int, int]]:
     """Pairs that are each other's only best by anchors alone, with nearly all anchors shared; one anchor serves if no other sentence has it."""
     pe, pa = postings(e), postings(a)
     df = {k: len(pe.get(k, ())) + len(pa.get(k, ())) for k in pe.keys() | pa.keys()}
     weight = {k: 1 / n for k, n in df.items()}
     te, ta = [sum(weight[k] for k in s) for s in e], [sum(weight[k] for k in s) for s in a]
-    shared: dict[tuple[int, int], float] = collections.defaultdict(float)
-    for k, rows in pe.items():
-        cols = pa.get(k, ())
-        if cols and len(rows) * len(cols) <= RARE:
-            for i in rows:
-                for j in cols:
-                    shared[i, j] += weight[k]
-    score = {}
-    for (i, j), _ in shared.items():
-        score[i, j] = 2 * sum(weight[k] for k in e[i] & a[j]) / (te[i] + ta[j])
-    rows_, cols_ = collections.defaultdict(list), collections.defaultdict(list)
-    for (i, j), v in score.items():
-        rows_[i].append((v, -j))
-        cols_[j].append(v)
+    both = pe.keys() & pa.keys()
+    of_e = Inverted(e, {k: dict.fromkeys(pa[k], weight[k]) for k in both}, te, len(a))
+    of_a = Inverted(a, {k: dict.fromkeys(pe[k], weight[k]) for k in both}, ta, len(e))
+    # a score 2 w / (te + ta) of s needs w >= s / (2 - s) of either side, because w is in both
+    least = ANCHORED - RIVAL
+    least /= 2 - least
+
+    def score(i: int, j: int) -> float:
+        return 2 * sum(weight[k] for k in e[i] & a[j]) / (te[i] + ta[j])
+
+    times = collections.Counter(map(frozenset, e))
     out = []
-    for i in sorted(rows_):
-        if len(e[i]) < 2 and not all(df[k] == 2 for k in e[i]):
+    for i, own in enumerate(e):
+        # sentences with the same anchors are rivals for each partner
+        if not own or times[frozenset(own)] > 1 or (len(own) < 2 and not all(df[k] == 2 for k in own)):
             continue
-        v, j = max(rows_[i])
-        if v >= 0.9 and sum(x >= v - 0.1 for x, _ in rows_[i]) == 1 and sum(x >= v - 0.1 for x in cols_[-j]) == 1:
+        row = [(score(i, j), -j) for j in of_e.reach(i, least)]
+        v, j = max(row, default=(0.0, 0))
+        if v >= ANCHORED and sum(x >= v - RIVAL for x, _ in row) == 1 and sum(score(h, -j) >= v - RIVAL for h in of_a.reach(-j, least)) == 1:
             out.append((i, -j))
     return out
 
@@ -231,24 +300,19 @@ UNKNOWN = 0.3
 
 
 class Scores:
-    """How much of a clause of either side is contained in one of the other, for the pairs that share an anchor or a rare word, and on request for others."""
+    """How much of a clause of either side is contained in one of the other, and the best partner of every clause that has a sure one."""
 
     def __init__(self, en: Side, ar: Side, lex: Lexicon) -> None:
         e, a, names = anchors(en, ar)
         arabic = set().union(*names.values()) if names else set()
-        self.we, self.wa = [w - names.keys() for w in en.words], [w - arabic for w in ar.words]
-        self.e, self.a = e, a
+        we, wa = [w - names.keys() for w in en.words], [w - arabic for w in ar.words]
         be, ba = lex.best_en, lex.best_ar
-        self.te = [sum(be.get(w, UNKNOWN) for w in ws) + ANCHOR_WEIGHT * len(k) for ws, k in zip(self.we, e)]
-        self.ta = [sum(ba.get(v, UNKNOWN) for v in ws) + ANCHOR_WEIGHT * len(k) for ws, k in zip(self.wa, a)]
+        te = [sum(be.get(w, UNKNOWN) for w in ws) + ANCHOR_WEIGHT * len(k) for ws, k in zip(we, e)]
+        ta = [sum(ba.get(v, UNKNOWN) for v in ws) + ANCHOR_WEIGHT * len(k) for ws, k in zip(wa, a)]
         # the other side's words count whether or not they are names there
-        pe, pa, qe, qa = postings(self.we), postings(self.wa), postings(en.words), postings(ar.words)
-        self.got_e: dict[tuple[int, int], float] = {}
-        self.got_a: dict[tuple[int, int], float] = {}
-        self.common_e: list[dict[str, dict[int, float]]] = [{} for _ in e]
-        self.common_a: list[dict[str, dict[int, float]]] = [{} for _ in a]
-        into_e: dict[str, dict[int, float]] = {}
-        into_a: dict[str, dict[int, float]] = {}
+        pe, pa, qe, qa = set().union(*we), set().union(*wa), postings(en.words), postings(ar.words)
+        into_e: dict[object, dict[int, float]] = {}
+        into_a: dict[object, dict[int, float]] = {}
         for w in qe:
             for v, d in lex.to.get(w, {}).items():
                 if v in qa:
@@ -262,47 +326,52 @@ class Scores:
                         for i in qe[w]:
                             if d > row.get(i, 0.0):
                                 row[i] = d
-        for w, row in into_e.items():
-            rare = len(pe[w]) * len(row) <= RARE
-            for i in pe[w]:
-                if rare:
-                    for j, d in row.items():
-                        self.got_e[i, j] = self.got_e.get((i, j), 0.0) + d
-                else:
-                    self.common_e[i][w] = row
-        for v, row in into_a.items():
-            rare = len(pa[v]) * len(row) <= RARE
-            for j in pa[v]:
-                if rare:
-                    for i, d in row.items():
-                        self.got_a[i, j] = self.got_a.get((i, j), 0.0) + d
-                else:
-                    self.common_a[j][v] = row
-        ka, near_ = postings(a), set()
-        for k, rows in postings(e).items():
-            cols = ka.get(k, ())
-            if cols and len(rows) * len(cols) <= RARE:
-                near_.update((i, j) for i in rows for j in cols)
-        self.known: dict[tuple[int, int], tuple[float, float]] = {}
-        for i, j in self.got_e.keys() | self.got_a.keys() | near_:
-            self.of(i, j)
-
-    def of(self, i: int, j: int) -> tuple[float, float]:
-        """Shares of clause i contained in j, and of j in i."""
+        # an anchor is a member of its own, apart from a word of the same letters
+        ke, ka = postings(e), postings(a)
+        for k in ke.keys() & ka.keys():
+            into_e[k,] = dict.fromkeys(ka[k], ANCHOR_WEIGHT)
+            into_a[k,] = dict.fromkeys(ke[k], ANCHOR_WEIGHT)
+        self.n, self.m = len(en), len(ar)
+        self.e = Inverted([[*ws, *((k,) for k in ks)] for ws, ks in zip(we, e)], into_e, te, self.m)
+        self.a = Inverted([[*ws, *((k,) for k in ks)] for ws, ks in zip(wa, a)], into_a, ta, self.n)
+        self.known: dict[tuple[int, int], float] = {}
+        self.best_e = [self._best(i, self.e, self.a, False) for i in range(self.n)]
+        self.best_a = [self._best(j, self.a, self.e, True) for j in range(self.m)]
+
+    def off(self, i, j):
+        """How far a pair is from the diagonal; of equally good partners the nearer one counts."""
+        return 1e-3 * abs(i * (self.m / self.n) - j) / max(self.n, self.m)
+
+    def both(self, i: int, j: int) -> float:
         got = self.known.get((i, j))
         if got is None:
-            x, y = self.got_e.get((i, j), 0.0), self.got_a.get((i, j), 0.0)
-            if self.common_e[i]:
-                x += sum(row.get(j, 0.0) for row in self.common_e[i].values())
-            if self.common_a[j]:
-                y += sum(row.get(i, 0.0) for row in self.common_a[j].values())
-            k = ANCHOR_WEIGHT * len(self.e[i] & self.a[j])
-            got = self.known[i, j] = ((x + k) / self.te[i] if self.te[i] else 0.0, (y + k) / self.ta[j] if self.ta[j] else 0.0)
+            got = self.known[i, j] = round(math.sqrt(self.e.share(i, j) * self.a.share(j, i)), DIGITS)
         return got
 
-    def both(self, i: int, j: int) -> float:
-        x, y = self.of(i, j)
-        return math.sqrt(x * y)
+    def row(self, i: int, ja: list[int], js: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Shares of clause i contained in those of ja, and of those in i."""
+        if len(ja) * 4 <= SHORT:
+            return np.array([self.e.share(i, j) for j in ja]), np.array([self.a.share(j, i) for j in ja])
+        return self.e.shares(i)[js], self.a.shares_by(i)[js]
+
+    def _best(self, i: int, own: Inverted, other: Inverted, turned: bool) -> int | None:
+        """The best partner of a clause, if it has one with a score of SURE."""
+        top, at, seen = SURE - 2e-3, None, set()
+        for bound, row in own.lists(i):
+            # no share is above 1
+            if math.sqrt(bound) < top - SLACK:
+                break
+            if len(row) > SHORT:
+                js = np.arange(own.size)
+                every = np.sqrt(own.shares(i) * other.shares_by(i)).round(DIGITS) - (self.off(js, i) if turned else self.off(i, js))
+                at = int(every.argmax())
+                break
+            for j in row.keys() - seen:
+                seen.add(j)
+                s = self.both(j, i) - self.off(j, i) if turned else self.both(i, j) - self.off(i, j)
+                if s > top or (s == top and at is not None and j < at):
+                    top, at = s, j
+        return at if at is not None and (self.both(at, i) if turned else self.both(i, at)) >= SURE else None
 
 
 def increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -333,19 +402,8 @@ def align(en_text: str | None, ar_text: str | None, lex: Lexicon) -> list[tuple[
     if not n or not m:
         return []
     scores = Scores(en, ar, lex)
-    slope = m / n
-
-    def off(i: int, j: int) -> float:
-        return 1e-3 * abs(i * slope - j) / max(n, m)
-
     # sure pairs: each the other's best
-    best_e, best_a = {}, {}
-    for (i, j), (x, y) in scores.known.items():
-        s = math.sqrt(x * y) - off(i, j)
-        if s > 0:
-            best_e[i] = max(best_e.get(i, (-1.0, 0)), (s, -j))
-            best_a[j] = max(best_a.get(j, (-1.0, 0)), (s, -i))
-    sure = [(i, -j) for i, (_, j) in sorted(best_e.items()) if scores.both(i, -j) >= SURE and best_a[-j][1] == -i]
+    sure = [(i, j) for i, j in enumerate(scores.best_e) if j is not None and scores.best_a[j] == i]
     chain = increasing(sure)
     pairs = set(chain)
     edges = [(-1, -1), *chain, (n, m)]
@@ -357,58 +415,70 @@ def align(en_text: str | None, ar_text: str | None, lex: Lexicon) -> list[tuple[
     pairs.update(sure)  # those off the chain are reordered
     # merges: a clause wholly contained in one that covers more
     got_e, got_a = {i for i, _ in pairs}, {j for _, j in pairs}
-    rows: dict[int, list] = collections.defaultdict(list)
-    cols: dict[int, list] = collections.defaultdict(list)
-    for (i, j), (x, y) in scores.known.items():
-        if i not in got_e:
-            rows[i].append((x - off(i, j), x, -j))
-        if j not in got_a:
-            cols[j].append((y - off(i, j), y, -i))
-    for i, many in rows.items():
-        _, x, j = max(many)
+    for i in set(range(n)) - got_e:
+        many = [(x - scores.off(i, j), x, -j) for j, x in scores.e.reach(i, CONTAINED - 0.12).items()]
+        _, x, j = max(many, default=(0.0, 0.0, 0))
         if x >= CONTAINED and sum(o > x - 0.12 for _, o, _ in many) == 1:
             pairs.add((i, -j))
-    for j, many in cols.items():
-        _, y, i = max(many)
+    for j in set(range(m)) - got_a:
+        many = [(y - scores.off(i, j), y, -i) for i, y in scores.a.reach(j, CONTAINED - 0.12).items()]
+        _, y, i = max(many, default=(0.0, 0.0, 0))
         if y >= CONTAINED and sum(o > y - 0.12 for _, o, _ in many) == 1:
             pairs.add((-i, j))
     return sorted({(en.owner[i] + 1, ar.owner[j] + 1) for i, j in pairs})
 
 
 def _gap(ie: list[int], ja: list[int], scores: Scores) -> list[tuple[int, int]]:
-    """Best monotone alignment of a gap with beads 1-1, 1-2, 2-1, 1-0 and 0-1, within BAND of its diagonal."""
+    """Best monotone alignment of a gap with beads 1-1, 1-2, 2-1, 1-0 and 0-1, row by row; only beads that better a state are kept."""
     if not ie or not ja:
         return []
-    p, q = len(ie), len(ja)
-    best: dict[tuple[int, int], float] = {}
-    step: dict[tuple[int, int], tuple[int, int]] = {}
-    for x in range(p + 1):
-        mid = x * q // p
-        for y in range(max(0, mid - BAND - q // p), min(q, mid + BAND + q // p) + 1):
-            if not x and not y:
-                best[0, 0] = 0.0
-                continue
-            options = []
-            if (x - 1, y) in best:
-                options.append((best[x - 1, y], (1, 0)))
-            if (x, y - 1) in best:
-                options.append((best[x, y - 1], (0, 1)))
-            if x and y:
-                ce, ca = scores.of(ie[x - 1], ja[y - 1])
-                both = math.sqrt(ce * ca)
-                if both >= GAP and (x - 1, y - 1) in best:
-                    options.append((best[x - 1, y - 1] + both, (1, 1)))
-                if y > 1 and ca >= CONTAINED and (x - 1, y - 2) in best and (o := scores.of(ie[x - 1], ja[y - 2])[1]) >= CONTAINED:
-                    options.append((best[x - 1, y - 2] + ca + o, (1, 2)))
-                if x > 1 and ce >= CONTAINED and (x - 2, y - 1) in best and (o := scores.of(ie[x - 2], ja[y - 1])[0]) >= CONTAINED:
-                    options.append((best[x - 2, y - 1] + ce + o, (2, 1)))
-            best[x, y], step[x, y] = max(options, key=lambda o: (round(o[0], 9), o[1]))
+    q, js = len(ja), np.array(ja)
+    best, node = np.zeros(q + 1), np.full(q + 1, -1)
+    waiting = None
+    beads: list[tuple[np.ndarray, ...]] = []  # row, column, kind and bead before
+    count = 0
+    for x, i in enumerate(ie):
+        ce, ca = scores.row(i, ja, js)
+        both = np.sqrt(ce * ca)
+        one, in_e, in_a = both >= GAP, ce >= CONTAINED, ca >= CONTAINED
+        before, waiting = waiting, None
+        if not (one.any() or in_e.any() or in_a.any()):
+            continue
+        off = scores.off(i, js)
+        gains = np.full((3, q), -np.inf)
+        if before is not None:
+            gains[0] = np.where(in_e, before[0] + ce - off, -np.inf)
+        gains[1, 1:] = np.where(in_a[1:] & in_a[:-1], best[:-2] + (ca - off)[1:] + (ca - off)[:-1], -np.inf)
+        gains[2] = np.where(one, best[:-1] + both - off, -np.inf)
+        if in_e.any():
+            waiting = np.where(in_e, best[:-1] + ce - off, -np.inf), node[:-1]
+        gain = gains.max(0)
+        gain[gain <= best[1:] + SLACK] = -np.inf
+        new = np.maximum.accumulate(np.maximum(best, np.append(-np.inf, gain)))
+        step = np.flatnonzero(gain > new[:-1])
+        if not len(step):
+            continue
+        kind = gains[:, step].argmax(0)
+        prev = np.where(kind == 1, node[step - 1], node[step])
+        if before is not None:
+            prev = np.where(kind == 0, before[1][step], prev)
+        beads.append((np.full(len(step), x, np.int32), step.astype(np.int32), kind.astype(np.int8), prev))
+        # a state that got better ends with the last of these beads at or before it
+        better = np.flatnonzero(new > best)
+        node = node.copy()
+        node[better] = count + np.searchsorted(step, better - 1, "right") - 1
+        best = new
+        count += len(step)
     out = []
-    x, y = p, q
-    while x or y:
-        dx, dy = step[x, y]
-        out += [(ie[x - k], ja[y - h]) for k in range(1, dx + 1) for h in range(1, dy + 1)]
-        x, y = x - dx, y - dy
+    if beads:
+        xs, ys, kinds, prevs = (np.concatenate(c) for c in zip(*beads))
+        k = node[q]
+        while k >= 0:
+            x, y, kind = xs[k], ys[k], kinds[k]
+            out.append((ie[x], ja[y]))
+            if kind < 2:
+                out.append((ie[x - 1], ja[y]) if kind == 0 else (ie[x], ja[y - 1]))
+            k = prevs[k]
     return out
 
 

@@ -1,3 +1,5 @@
+import itertools
+import math
 import random
 
 import numpy as np
@@ -148,6 +150,127 @@ def test_increasing_chain_and_linear_work():
     assert pairs_of[1] <= 2.2 * pairs_of[0]
 
 
+def brute_anchors(e, a):
+    df = {k: sum(k in x for x in [*e, *a]) for x in [*e, *a] for k in x}
+    total = [sum(1 / df[k] for k in x) for x in [*e, *a]]
+    score = [[2 * sum(1 / df[k] for k in x & y) / (total[i] + total[len(e) + j]) if x & y else 0.0 for j, y in enumerate(a)] for i, x in enumerate(e)]
+    out = []
+    for i, x in enumerate(e):
+        if x and (len(x) > 1 or all(df[k] == 2 for k in x)):
+            v = max(score[i])
+            j = score[i].index(v)
+            if v >= 0.9 and sum(o >= v - 0.1 for o in score[i]) == 1 and sum(row[j] >= v - 0.1 for row in score) == 1:
+                out.append((i, j))
+    return out
+
+
+def test_frequent_anchors_pair_sentences():
+    # each number stands in nine sentences of both sides, each two numbers in one
+    own = [{f"{x}", f"{10 + y}"} for x in range(9) for y in range(9)]
+    assert bitext.by_anchors(own, own[::-1]) == [(i, 80 - i) for i in range(81)]
+    rng = random.Random(5)
+    for n, letters in [(8, "abc"), (30, "abcdef"), (150, "abcdefgh")] * 10:
+        e, a = [[{c for c in letters if rng.random() < 0.4} | ({f"{i}"} if rng.random() < 0.2 else set()) for i in range(n)] for _ in range(2)]
+        a[: n // 2] = rng.sample(e, n // 2)
+        assert bitext.by_anchors(e, a) == brute_anchors(e, a)
+
+
+def brute_scores(en, ar, lex):
+    e, a, names = bitext.anchors(en, ar)
+    arabic = set().union(*names.values()) if names else set()
+    to = lambda w, v: lex.to.get(w, {}).get(v, 0.0)
+    out = {}
+    for i in range(len(en)):
+        for j in range(len(ar)):
+            we, wa, k = en.words[i] - names.keys(), ar.words[j] - arabic, 3.0 * len(e[i] & a[j])
+            te = sum(lex.best_en.get(w, 0.3) for w in we) + 3.0 * len(e[i])
+            ta = sum(lex.best_ar.get(v, 0.3) for v in wa) + 3.0 * len(a[j])
+            out[i, j] = ((sum(max((to(w, v) for v in ar.words[j]), default=0.0) for w in we) + k) / (te or 1.0), (sum(max((to(w, v) for w in en.words[i]), default=0.0) for v in wa) + k) / (ta or 1.0))
+    return out
+
+
+def brute_gap(p, q, all_of, off):
+    best = [[0.0] * (q + 1) for _ in range(p + 1)]
+    for x in range(p + 1):
+        for y in range(q + 1):
+            options = [best[x - 1][y]] * (x > 0) + [best[x][y - 1]] * (y > 0) + [0.0]
+            if x and y:
+                ce, ca = all_of[x - 1, y - 1]
+                o = off(x - 1, y - 1)
+                if math.sqrt(ce * ca) >= bitext.GAP:
+                    options.append(best[x - 1][y - 1] + math.sqrt(ce * ca) - o)
+                if y > 1 and min(ca, all_of[x - 1, y - 2][1]) >= bitext.CONTAINED:
+                    options.append(best[x - 1][y - 2] + ca + all_of[x - 1, y - 2][1] - o - off(x - 1, y - 2))
+                if x > 1 and min(ce, all_of[x - 2, y - 1][0]) >= bitext.CONTAINED:
+                    options.append(best[x - 2][y - 1] + ce + all_of[x - 2, y - 1][0] - o - off(x - 2, y - 1))
+            best[x][y] = max(options)
+    return best[p][q]
+
+
+def gain(pairs, all_of, off):
+    """What an alignment is worth by the rules of its beads."""
+    total, pairs = 0.0, sorted(pairs)
+    while pairs:
+        (i, j), *rest = pairs
+        two = next((p for p in rest if (p[0] == i) != (p[1] == j)), None)
+        if two:
+            side = 1 if two[0] == i else 0
+            assert abs(two[0] - i) + abs(two[1] - j) == 1 and min(all_of[i, j][side], all_of[two][side]) >= bitext.CONTAINED
+            total += all_of[i, j][side] + all_of[two][side] - off(i, j) - off(*two)
+            rest.remove(two)
+        else:
+            total += math.sqrt(math.prod(all_of[i, j])) - off(i, j)
+        assert all(p[0] > max(i, two[0] if two else i) and p[1] > max(j, two[1] if two else j) for p in rest)
+        pairs = rest
+    return total
+
+
+def test_every_pair_of_clauses_counts():
+    rng = random.Random(8)
+    words = "take store drink keep dose water food bottle fever morning night child doctor ask stop use".split()
+    entries = [(w, "ع" + w, round(rng.uniform(0.4, 1), 2)) for w in words[:-3]] + [(w, "ع" + v, 0.2) for w, v in zip(words, words[1:])]
+    lex = bitext.Lexicon(entries)
+    for n, m, few in [(5, 7, 64), (14, 12, 64), (14, 12, 3), (90, 80, 64), (80, 95, 64)] * 4:
+        # few words, so that all of them are frequent, and few numbers
+        own = [rng.sample(words, rng.randint(3, 8)) + [str(rng.randrange(4))] * (rng.random() < 0.3) for _ in range(n)]
+        there = [[w if w.isdigit() else "ع" + w for w in (rng.choice(own) if rng.random() < 0.8 else rng.sample(words, 5)) if rng.random() < 0.85] or ["ع"] for _ in range(m)]
+        en, ar = bitext.Side(" ".join(f"{' '.join(w)}." for w in own)), bitext.Side(" ".join(f"{' '.join(w)}." for w in there))
+        all_of = brute_scores(en, ar, lex)
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(bitext, "SHORT", few)
+            scores = bitext.Scores(en, ar, lex)
+            off, best = scores.off, {k: math.sqrt(x * y) for k, (x, y) in all_of.items()}
+            for i in range(len(en)):
+                _, j = max((round(best[i, j] - off(i, j), 9), -j) for j in range(len(ar)))
+                assert scores.best_e[i] == (-j if best[i, -j] >= bitext.SURE else None)
+                for least in (0.3, 0.5, 0.6):
+                    assert scores.e.reach(i, least) == pytest.approx({j: all_of[i, j][0] for j in range(len(ar)) if all_of[i, j][0] >= least - 1e-9})
+            for j in range(len(ar)):
+                _, i = max((round(best[i, j] - off(i, j), 9), -i) for i in range(len(en)))
+                assert scores.best_a[j] == (-i if best[-i, j] >= bitext.SURE else None)
+                assert scores.a.reach(j, 0.5) == pytest.approx({i: all_of[i, j][1] for i in range(len(en)) if all_of[i, j][1] >= 0.5 - 1e-9})
+            pairs = bitext._gap(list(range(len(en))), list(range(len(ar))), scores)
+            assert gain(pairs, all_of, off) == pytest.approx(brute_gap(len(en), len(ar), all_of, off))
+
+
+def test_pairs_far_from_the_diagonal_and_of_frequent_words():
+    words = [f"{a}{b}on" for a in "bdfgklmnprst" for b in "aeiou"]
+    lex = bitext.Lexicon((w, "ع" + w, 0.8) for w in words)
+    # two thirds of each clause are known to the lexicon: too little for a sure pair or a merged one; 60 unknown clauses on one side stand before, on the other after
+    part = [f"{words[k]} {words[k + 1]} {words[k + 2]} x" for k in range(0, 57, 3)]
+    odd = [f"qq{k:03d}".translate(str.maketrans("0123456789", "abcdefghij")) for k in range(60)]
+    en = ". ".join([*(f"{p} unseen{'a' * (k + 1)} uncommon{'b' * (k + 1)} unheard{'c' * (k + 1)} unasked{'d' * (k + 1)}" for k, p in enumerate(part)), *odd]) + "."
+    ar = ". ".join([*odd[::-1], *(" ".join("ع" + w for w in p.split()[:3]) + f" ظظ{'ض' * (k + 1)} صص{'ض' * (k + 1)} طط{'ض' * (k + 1)} قق{'ض' * (k + 1)} كك{'ض' * (k + 1)}" for k, p in enumerate(part))]) + "."
+    got = bitext.align(en, ar, lex)
+    assert {(k + 1, 61 + k) for k in range(len(part))} <= set(got)
+    # sixteen words, each in a quarter of the clauses; a clause is told by its four
+    own = [[words[15 * k + x] for k, x in enumerate(xs)] for xs in itertools.product(range(4), repeat=4)]
+    rng = random.Random(3)
+    order = rng.sample(range(256), 256)
+    got = bitext.align(" ".join(f"{' '.join(w)}." for w in own), " ".join(f"{' '.join('ع' + w for w in own[k])}." for k in order), lex)
+    assert got == sorted((k + 1, at + 1) for at, k in enumerate(order))
+
+
 def test_scan_noise_parts():
     words, cuts = scannoise.tokens_of("The medi- \n3/4\ncine is long-term.\n- 2 -\nα-\nchain")
     assert (0, 2, "medi", "cine", 0, 1) in cuts and "long-term" in words and "medi" not in words and "cine" not in words
